@@ -5,10 +5,50 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.llm import conversations as conv
-from weftline.llm import leaks, mixing, overlap, pieces, sampling, splits
+from weftline.llm import languages, leaks, mixing, overlap, pieces, pii, sampling, splits
 from weftline.session import table
 
 
+EVENT = ["tenant_id", "trace_id", "event_id"]
+
+
+def _talk(spark, d):
+    return table(spark, d, "trace_events").filter("role IN ('user', 'assistant')").select(*EVENT, "language", "text").distinct()
+
+
+def p2_found(spark, d):
+    return languages.wrong_labels(languages.identify(_talk(spark, d), EVENT)).select(*EVENT).distinct()
+
+
+def p2_languages(spark, d):
+    found = languages.identify(_talk(spark, d), EVENT)
+    return found.select(*EVENT, "language", F.col("found").alias("found_language"), "confidence", F.to_json("proportions").alias("proportions"))
+
+
+def p2_segments(spark, d):
+    """Every segment of every event with its language and confidence."""
+    found = languages.identify(_talk(spark, d), EVENT)
+    s = found.select(*EVENT, F.col("found").alias("event_language"), F.posexplode("segments").alias("segment_no", "s"))
+    return s.select(*EVENT, "event_language", "segment_no", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.col("s.language").alias("segment_language"), F.col("s.confidence").alias("confidence"))
+
+
+def _texts(spark, d):
+    return table(spark, d, "trace_events").select(*EVENT, "text")
+
+
+def p4_found(spark, d):
+    return pii.find(_texts(spark, d), EVENT)
+
+
+def p4_redacted(spark, d):
+    return pii.redact(_texts(spark, d), EVENT)
+
+
+def p4_terms(spark, d):
+    """The disclosing terms of the corpus with their disclosure in bits."""
+    return pii.disclosure(_texts(spark, d).distinct())
+
+
 def p3_found(spark, d):
     p = overlap.overlaps(table(spark, d, "feedback_inputs"))
     return p.select(F.least("train_input", "eval_input").alias("input_id_a"), F.greatest("train_input", "eval_input").alias("input_id_b")).distinct()
@@ -79,7 +119,7 @@ def p10_pieces(spark, d):
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-_ALL = (p3_found, p3_report, p5_sample, p6_found, p6_splits, p6_shares, p7_found, p7_verdicts, p7_conversations, p8_found, p8_report, p8_clean, p9_mix, p9_shares, p10_found, p10_pieces)
+_ALL = (p2_found, p2_languages, p2_segments, p4_found, p4_redacted, p4_terms, p3_found, p3_report, p5_sample, p6_found, p6_splits, p6_shares, p7_found, p7_verdicts, p7_conversations, p8_found, p8_report, p8_clean, p9_mix, p9_shares, p10_found, p10_pieces)
 
 
 def queries() -> dict:
