@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.hierarchy import CYCLE, ORPHAN, hierarchy
 from weftline.operators.ranking import global_sequence
-from weftline.session import materialize
+from weftline.session import drop_path, materialize
 
 KEY = ("tenant_id", "trace_id", "event_id")
 TRACE = ("tenant_id", "trace_id")
@@ -24,8 +23,8 @@ def has_text(c: str) -> Column:
     return F.coalesce(F.col(c).rlike(r"[^\p{IsWhite_Space}]"), F.lit(False))
 
 
-def fold_log(events: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame:
-    """One turn for each event key: the payload of its last new version, n_deliveries, n_versions, edited.
+def fold_log(events: DataFrame, payload: tuple[str, ...] = PAYLOAD, keep: tuple[Column | str, ...] = PAYLOAD) -> DataFrame:
+    """One turn for each event key: the kept columns of its last new version, n_deliveries, n_versions, edited.
 
     Versions are distinct payloads (all given columns, nulls equal) numbered by first arrival (received_ts, then payload
     hash); retries repeat a version and change nothing. Rows with a null in the key are ignored. Columns beside key,
@@ -34,7 +33,7 @@ def fold_log(events: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame
     e = events.filter(" AND ".join(f"{k} IS NOT NULL" for k in KEY))
     # null positions go into the hash too: xxhash64 skips nulls, so a value that moves to the next column would collide
     digest = F.xxhash64(*payload, *[F.isnull(c) for c in payload])
-    e = e.select(*KEY, "received_ts", digest.alias("__h"), F.struct(*payload).alias("__v"))
+    e = e.select(*KEY, "received_ts", digest.alias("__h"), F.struct(*keep).alias("__v"))
     versions = e.groupBy(*KEY, "__h").agg(F.first("__v").alias("__v"), F.min("received_ts").alias("__first"), F.count("*").alias("__n"))
     out = versions.groupBy(*KEY).agg(
         F.max_by("__v", F.struct("__first", "__h")).alias("__v"), F.sum("__n").alias("n_deliveries"), F.count("*").alias("n_versions")
@@ -42,38 +41,52 @@ def fold_log(events: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame
     return out.select(*KEY, "__v.*", "n_deliveries", "n_versions", (F.col("n_versions") > 1).alias("edited"))
 
 
+def unanswered_traces(nodes: DataFrame) -> DataFrame:
+    """(tenant_id, trace_id) with an asking node that has no reply below it; nodes: key, parent_id, asks, replies, without cycles.
+
+    Replies climb by doubling: in round k a node knows of replies less than 2**k levels below and passes the news 2**k
+    levels up. Traces whose questions are all answered leave after each round, so the deep rounds see few rows.
+    """
+    spark = nodes.sparkSession
+    now = nodes.select(*KEY, F.col("parent_id").alias("up"), "asks", F.col("replies").alias("heard"))
+    at = None
+    while True:
+        news = now.filter("heard AND up IS NOT NULL").select(*TRACE, F.col("up").alias("event_id")).distinct().withColumn("new", F.lit(True))
+        told = now.join(news, list(KEY), "left").select(*KEY, "up", "asks", (F.col("heard") | F.coalesce("new", F.lit(False))).alias("heard"))
+        further = now.select(*TRACE, F.col("event_id").alias("up"), F.col("up").alias("far"))
+        told = told.join(further, [*TRACE, "up"], "left").select(*KEY, F.col("far").alias("up"), "asks", "heard")
+        told, new_at = materialize(told, "heard")
+        if at:
+            drop_path(spark, at)
+        at = new_at
+        waiting = told.filter("asks AND NOT heard").select(*TRACE).distinct()
+        if told.join(waiting, list(TRACE), "left_semi").filter("up IS NOT NULL").isEmpty():
+            return waiting
+        now = told.join(waiting, list(TRACE), "left_semi")
+
+
 def judge(turns: DataFrame) -> DataFrame:
-    """(tenant_id, trace_id, broken, empty, unanswered): one row for each trace of fold_log()'s turns.
+    """(tenant_id, trace_id, broken, empty, unanswered): one row for each trace; turns: key, parent_id, sequence, role, said, edited.
 
     broken: a parent that doesn't exist in the trace, a parent whose sequence is not smaller (null counts as not smaller),
-    a cycle, or an edited event. empty: no user or assistant turn with text. unanswered: a user turn with text and no
-    assistant turn with text among its descendants. Rows with null tenant or trace belong to no conversation.
+    an edited event; a cycle always has a parent whose sequence is not smaller. empty: no user or assistant turn with
+    text. unanswered: a user turn with text and no assistant turn with text among its descendants; false for broken
+    traces, whose descendants aren't certain. Rows with null tenant or trace belong to no conversation.
     """
-    tree = hierarchy(turns, "event_id", "parent_id", TRACE)
-    seq = turns.select(*TRACE, F.col("event_id").alias("parent_id"), F.col("sequence").alias("__up"))
-    text = has_text("text")
-    own = turns.select(
-        *KEY, "parent_id", "sequence", "edited", (text & (F.col("role") == "user")).alias("__user"), (text & (F.col("role") == "assistant")).alias("__reply")
-    )
-    linked = own.join(seq, [*TRACE, "parent_id"], "left")
-    flags = linked.groupBy(*TRACE).agg(
-        F.max(F.col("edited") | (F.col("parent_id").isNotNull() & ~F.coalesce(F.col("__up") < F.col("sequence"), F.lit(False)))).alias("__bad"),
-        F.max(F.coalesce(F.col("__user") | F.col("__reply"), F.lit(False))).alias("__some"),
-    )
-    cyclic = tree.filter(F.col("state").isin(CYCLE, ORPHAN)).select(*TRACE).distinct().withColumn("__cyclic", F.lit(True))
-    # the ancestors of replies are answered; a path holds each ancestor once
-    up = tree.filter("path IS NOT NULL").join(own.filter("__reply").select(*KEY), list(KEY), "left_semi")
-    answered = up.select(*TRACE, F.explode(F.slice("path", 1, F.size("path") - 1)).alias("event_id")).distinct()
-    waiting = own.filter("__user").join(answered, list(KEY), "left_anti").select(*TRACE).distinct().withColumn("__waiting", F.lit(True))
-    out = flags.join(cyclic, list(TRACE), "left").join(waiting, list(TRACE), "left")
-    no = F.lit(False)
-    return out.select(
-        *TRACE, (F.col("__bad") | F.coalesce("__cyclic", no)).alias("broken"), (~F.col("__some")).alias("empty"), F.coalesce("__waiting", no).alias("unanswered")
-    )
+    role = lambda x: F.coalesce(F.col("said") & (F.col("role") == x), F.lit(False))
+    own = turns.select(*KEY, "parent_id", "sequence", "edited", role("user").alias("asks"), role("assistant").alias("replies"))
+    seq = own.select(*TRACE, F.col("event_id").alias("parent_id"), F.col("sequence").alias("__up"))
+    late = F.col("parent_id").isNotNull() & ~F.coalesce(F.col("__up") < F.col("sequence"), F.lit(False))
+    flags = own.join(seq, [*TRACE, "parent_id"], "left").groupBy(*TRACE).agg(F.max(F.col("edited") | late).alias("broken"), F.max(F.col("asks") | F.col("replies")).alias("__some"), F.max("asks").alias("__asks"))
+    flags, _ = materialize(flags, "flags")
+    whole, _ = materialize(own.join(flags.filter("NOT broken AND __asks").select(*TRACE), list(TRACE), "left_semi").select(*KEY, "parent_id", "asks", "replies"), "whole")
+    waiting = unanswered_traces(whole).withColumn("__waiting", F.lit(True))
+    return flags.join(waiting, list(TRACE), "left").select(*TRACE, "broken", (~F.col("__some")).alias("empty"), F.coalesce("__waiting", F.lit(False)).alias("unanswered"))
 
 
 def verdicts(events: DataFrame) -> DataFrame:
-    turns, _ = materialize(fold_log(events).select(*KEY, "parent_id", "sequence", "role", "edited", F.when(has_text("text"), F.lit("x")).alias("text")), "turns")
+    turns = fold_log(events, keep=("parent_id", "sequence", "role", has_text("text").alias("said")))
+    turns, _ = materialize(turns.select(*KEY, "parent_id", "sequence", "role", "said", "edited"), "turns")
     return judge(turns)
 
 
@@ -83,7 +96,7 @@ def conversations(events: DataFrame) -> DataFrame:
     Order inside a conversation: sequence, branch_id, event_id; a parent always precedes its children because its sequence
     is smaller. Ranks come from a global range sort, so one huge trace is spread over many tasks.
     """
-    turns, _ = materialize(fold_log(events), "turns")
+    turns, _ = materialize(fold_log(events).withColumn("said", has_text("text")), "turns")
     good = judge(turns).filter("NOT broken AND NOT empty AND NOT unanswered").select(*TRACE)
     kept = turns.join(good, list(TRACE), "left_semi")
     ranked = global_sequence(

@@ -136,7 +136,7 @@ u AS (SELECT tenant_id, trace_id, event_id, hit, role FROM j WHERE said AND role
       UNION SELECT j.tenant_id, j.trace_id, j.event_id, j.hit, j.role FROM u JOIN j ON j.tenant_id = u.tenant_id AND j.trace_id = u.trace_id AND j.event_id = u.hit),
 v AS (SELECT tenant_id, trace_id, bool_or(versions > 1 OR (parent_id IS NOT NULL AND (hit IS NULL OR NOT up < sequence))) AS broken,
         NOT bool_or(said AND role IN ('user', 'assistant')) AS empty,
-        bool_or(said AND role = 'user' AND (tenant_id, trace_id, event_id) NOT IN (SELECT (tenant_id, trace_id, event_id) FROM u)) AS unanswered FROM j GROUP BY ALL)
+        NOT broken AND bool_or(said AND role = 'user' AND (tenant_id, trace_id, event_id) NOT IN (SELECT (tenant_id, trace_id, event_id) FROM u)) AS unanswered FROM j GROUP BY ALL)
 """
 _COMPONENTS = """WITH RECURSIVE l AS (SELECT DISTINCT tenant_id, session_id, group_id FROM feedback_inputs),
 g AS (SELECT tenant_id, group_id, min(session_id) AS hub FROM l WHERE group_id IS NOT NULL GROUP BY ALL),
