@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.plans import hierarchy_queries
+from weftline.plans import feedback_queries, hierarchy_queries, trace_queries
 
-FLAGSHIP = "p1_hierarchy"
-_MODULES = (hierarchy_queries,)
+FLAGSHIP = "causal_split_counts"
+_MODULES = (hierarchy_queries, trace_queries, feedback_queries)
 
 
 def queries() -> dict:
