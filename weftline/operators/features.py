@@ -13,7 +13,12 @@ from weftline.operators.classification import softmax
 
 def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
     """All character n-grams of a text, with repeats."""
-    per = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    per = [of(n) for n in range(lo, hi + 1)]
     return F.flatten(F.array(*per))
 
 

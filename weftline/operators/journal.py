@@ -24,7 +24,7 @@ def call_id(input_id: str = "input_id", repeat: str = "repeat", version: str = "
 
 def planned(inputs: DataFrame, repeats: int, version: str) -> DataFrame:
     """(call_id, input_id, repeat, judge_version): every distinct input times every repeat."""
-    d = inputs.filter("input_id IS NOT NULL").select("input_id").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).cast("int"))
+    d = inputs.filter("input_id IS NOT NULL").select("input_id").distinct().withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
     d = d.withColumn("judge_version", F.lit(version))
     return d.select(call_id().alias("call_id"), "input_id", "repeat", "judge_version")
 
