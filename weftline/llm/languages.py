@@ -224,9 +224,16 @@ def infer(texts: list[str], model: Model) -> list[dict]:
 
 
 def training_sample(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `sample` (text, language) of rows whose label names one of the languages: those with the smallest text hashes, whatever the partitioning."""
+    """At most `sample` (text, language) of rows whose label names one of the languages: those with the smallest text hashes, whatever the partitioning.
+
+    A hash bound that leaves about twice the sample is applied before the ordered limit, so no partition sends its own
+    `sample` rows to the driver.
+    """
     code = F.lower(F.substring_index("language", "-", 1))
     d = df.filter(code.isin(*languages) & (F.length("text") >= MIN_LETTERS)).select(F.xxhash64("text").alias("h"), "text", code.alias("code"))
+    n = d.count()
+    bound = -(2**63) + min(2**64 - 1, 2**64 * 2 * sample // max(n, 1))
+    d = d.filter(F.col("h") <= F.lit(bound))
     return [(r["text"], r["code"]) for r in d.orderBy("h", "text", "code").limit(sample).select("text", "code").collect()]
 
 
