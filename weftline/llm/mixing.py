@@ -88,10 +88,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -
     """(doc_id, source, tokens, repeats): each document's whole copies plus one if its hash is below its source's threshold; documents with 0 repeats are left out."""
     p = plan(sizes, targets, total_tokens).filter("budget > 0")
     p = p.withColumn("whole", F.expr("CAST(budget div own_tokens AS INT)")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("own_tokens"))
-    p = sizes.sparkSession.createDataFrame(p.select("source", "whole", F.col("rest").cast("long").alias("rest")).collect(), "source string, whole int, rest long")
-    cut = p.select("source", "whole").join(thresholds(sizes, p.select("source", "rest")), "source")
+    p = sizes.sparkSession.createDataFrame(p.select("source", "whole", F.col("rest").cast("long").alias("rest"), "max_repeats").collect(), "source string, whole int, rest long, max_repeats int")
+    cut = p.select("source", "whole", "max_repeats").join(thresholds(sizes, p.select("source", "rest")), "source")
     out = sizes.join(F.broadcast(cut), "source")  # one row for each source of the target table
-    return out.select("doc_id", "source", "tokens", (F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).alias("repeats")).filter("repeats > 0")
+    return out.select("doc_id", "source", "tokens", F.least("max_repeats", F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).alias("repeats")).filter("repeats > 0")
 
 
 def share_report(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
