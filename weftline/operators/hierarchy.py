@@ -12,15 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.session import drop_path, materialize
 
 ROOT, ORPHAN, CHILD, CYCLE = "root", "orphan_root", "child", "cycle"
+ROWS = 25_000  # nodes for each output partition of a round
+SHRINK = 6  # finished trees leave the search when the pending nodes have shrunk by this factor
 
 
-def hierarchy(df: DataFrame, id_col: str, parent_col: str, scope: Sequence[str] = (), keep_paths: bool = True) -> DataFrame:
+def hierarchy(df: DataFrame, id_col: str, parent_col: str, scope: Sequence[str] = ()) -> DataFrame:
     """One row for each node: scope columns, id, parent, root, depth, path, state.
 
     * Rows without an id name no node and are ignored; scope values may be null and null equals null.
@@ -57,29 +59,46 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, scope: Sequence[str]
     )
     pending = begin.filter(F.col("__state") == CHILD).select(*s, "__n", "__p", F.col("__p").alias("__anc"), F.array("__n").alias("__seg"))
     blocks = [reached]
-    old: list[str] = []
+    live = [reached]  # what pending nodes may still meet
+    size = begin.count()
+    waiting = size
     while True:
-        known = blocks[0]
-        for b in blocks[1:]:
+        known = live[0]
+        for b in live[1:]:
             known = known.unionByName(b)
-        look = marked(known, F.col("__root"), F.col("__depth"), F.col("__path").alias("__up"), F.lit(None).cast(pending.schema["__anc"].dataType).alias("__far")).unionByName(
-            marked(pending, F.lit(None).cast(pending.schema["__anc"].dataType).alias("__root"), F.lit(None).cast("long").alias("__depth"), F.col("__seg").alias("__up"), F.col("__anc").alias("__far"))
+        none = F.lit(None).cast(begin.schema["__n"].dataType)
+        look = marked(known, F.col("__root"), F.col("__depth"), F.col("__path").alias("__up"), none.alias("__far")).unionByName(
+            marked(pending, none.alias("__root"), F.lit(None).cast("long").alias("__depth"), F.col("__seg").alias("__up"), F.col("__anc").alias("__far"))
         )
-        path = F.concat("__up", "__seg")
         step = (
             pending.join(look, same(pending, look, "__anc", marks))
-            .select(*s, "__n", "__p", "__root", (F.col("__depth") + F.size("__seg")).alias("__depth"), path.alias("__path"), F.col("__far").alias("__anc"))
+            .select(*s, "__n", "__p", "__root", (F.col("__depth") + F.size("__seg")).alias("__depth"), F.concat("__up", "__seg").alias("__path"), F.col("__far").alias("__anc"))
             .filter(F.col("__root").isNotNull() | (F.size(F.array_distinct("__path")) == F.size("__path")))
         )
-        done, at = materialize(step, "block")
-        n = {r["r"]: r["n"] for r in done.groupBy(F.col("__root").isNotNull().alias("r")).agg(F.count("*").alias("n")).collect()}
-        if n.get(True):
+        if 2 * size < ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            step = step.coalesce(2 * size // ROWS + 1)
+        seen = Observation()
+        done, at = materialize(step.observe(seen, F.count_if(F.col("__root").isNotNull()).alias("reached"), F.count_if(F.col("__root").isNull()).alias("pending")), "block")
+        reached_now, waiting = seen.get["reached"], seen.get["pending"]
+        if reached_now:
             blocks.append(done.filter(F.col("__root").isNotNull()).select(*s, "__n", "__p", "__root", "__depth", "__path", F.lit(CHILD).alias("__state")))
+            live.append(blocks[-1])
         else:
             drop_path(df.sparkSession, at)
-        if not n.get(True) or not n.get(False):
+        if not reached_now or not waiting:
             break
         pending = done.filter(F.col("__root").isNull()).select(*s, "__n", "__p", "__anc", F.col("__path").alias("__seg"))
+        if s and waiting * SHRINK < size:
+            # most trees are finished: keep only nodes of scopes that still wait
+            near = live[0]
+            for b in live[1:]:
+                near = near.unionByName(b)
+            open_scopes = pending.select(*[F.col(k).alias(m) for k, m in zip(s, marks)]).distinct()
+            cond = F.lit(True)
+            for k, m in zip(s, marks):
+                cond = cond & near[k].eqNullSafe(open_scopes[m])
+            live = [materialize(near.join(open_scopes, cond, "left_semi").coalesce(waiting * SHRINK // ROWS + 1), "live")[0]]
+            size = waiting
     late = begin.filter(F.col("__state").isin(CHILD, CYCLE))
     for b in blocks[1:]:
         hit = marked(b)
