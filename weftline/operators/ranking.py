@@ -25,11 +25,10 @@ def global_sequence(df: DataFrame, order: Sequence[str], name: str = "seq") -> D
     kept, _ = materialize(sorted_df, "sorted")
     part = F.shiftrightunsigned("__at", SHIFT)
     counts = sorted((r["p"], r["n"]) for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    total, offsets = 0, {}
+    total, offsets = 0, []
     for p, c in counts:
-        offsets[p] = total
+        offsets.append((p, total))
         total += c
-    if not offsets:
-        return kept.drop("__at").withColumn(name, F.lit(None).cast("long"))
-    base = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return kept.withColumn(name, base[part] + F.col("__at").bitwiseAND((1 << SHIFT) - 1)).drop("__at")
+    base = spark.createDataFrame(offsets, "__part long, __base long")
+    out = kept.withColumn("__part", part.cast("long")).join(F.broadcast(base), "__part")  # one row for each partition
+    return out.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND((1 << SHIFT) - 1)).drop("__at", "__part", "__base")
