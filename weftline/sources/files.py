@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines under a fixed schema: blank lines are skipped, a byte-order mark is dropped, unknown shapes and non-finite numbers fail."""
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines under a fixed schema (a StructType or DDL): blank lines are skipped, a byte-order mark is dropped, unknown shapes and non-finite numbers fail."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).filter(F.trim("value") != "")
     opts = {"mode": "FAILFAST", "allowNonNumericNumbers": "false"}
     return lines.select(F.from_json("value", schema, opts).alias("r")).select("r.*")
