@@ -31,14 +31,23 @@ def test_import_keeps_sessions_together_and_labels_apart(spark):
 
 def test_keys_contexts_and_limits(spark):
     m = spark.createDataFrame([("t", "s1", "m1", "same"), ("t", "s2", "m2", "same"), ("u", "s1", "m1", "same"), ("t", "s1", "m3", None)], "tenant_id string, session_id string, message_id string, text string")
-    ex = dataset.message_input(m).withColumn("history_available", F.lit(False))
+    ex = dataset.message_input(m)
     k = {r["tenant_id"] + r["target_event_id"]: r["k"] for r in ex.select("tenant_id", "target_event_id", dataset.cache_key(ex).alias("k")).collect()}
     assert k["tm1"] == k["tm2"] != k["um1"] and len(k) == 3
     assert dataset.context_errors(ex).count() == 0
     assert {r["error"] for r in dataset.context_errors(ex.withColumn("target_event_id", F.lit("x"))).collect()} == {"not_ending_at_target"}
     assert {r["error"] for r in dataset.context_errors(ex.withColumn("context", F.concat("context", "context"))).collect()} == {"repeated_event"}
     t = ex.select(dataset.request_text(ex, F.lit(True)).alias("a"), dataset.request_text(ex, F.lit(False)).alias("b")).first()
-    assert t["a"] == "same" and json.loads(t["b"])["context"][0]["text"] == "same"
+    assert t["a"] == "same" and json.loads(t["b"])["events"][0]["text"] == "same"
+    r = ex.filter("target_event_id = 'm2'").first()
+    names = ("tenant_id", "trace_id", "branch_id", "target_event_id", "metric_version", "input_version", "context_status", "context_scope", "history_available")
+    assert r["trace_id"] == canon(["t", "s2"]) and r["input_id"] == canon({n: r[n] for n in names} | {"context": [c.asDict() for c in r["context"]]})
+    assert k["tm2"] == canon(["t", "message_only", "complete", False, "user", "same"])
+    f = dataset.feedback_input(ex)
+    g = f.filter("target_event_id = 'm2'").first()
+    assert g["original_input_id"] == r["input_id"] and g["input_id"] == canon({n: g[n] for n in names} | {"context": [c.asDict() for c in g["context"]]})
+    again = dataset.feedback_input(f).filter("target_event_id = 'm2'").first()
+    assert (again["input_id"], again["original_input_id"]) == (g["input_id"], g["original_input_id"])
     assert [r[0] for r in m.select(dataset.over_input_limit("ab", F.col("text"), 5)).collect()] == [True, True, True, None]
 
 

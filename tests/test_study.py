@@ -1,5 +1,6 @@
 """Journal, answers, metrics, thresholds, simulation, features and census with literal expectations."""
 
+import hashlib
 import json
 import math
 
@@ -17,6 +18,7 @@ def test_journal_resumes(spark):
     inputs = spark.createDataFrame([(f"i{k}",) for k in range(6)] + [("i0",), (None,)], "input_id string")
     plan = jr.planned(inputs, 2, "v1")
     assert plan.count() == 12 and plan.select("call_id").distinct().count() == 12
+    assert plan.filter("input_id = 'i3' AND repeat = 1").first()["call_id"] == hashlib.sha256(b'["i3","v1",1]').hexdigest()
 
     def flaky(row):
         if row["input_id"] == "i5":

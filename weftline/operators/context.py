@@ -11,6 +11,7 @@ from weftline.operators.hierarchy import hierarchy
 from weftline.session import materialize
 
 TRACE = ("tenant_id", "trace_id")
+# They are part of hashed identities.
 METRIC_VERSION = "agent-dissatisfaction-v1"
 INPUT_VERSION = "causal-visible-v1"
 

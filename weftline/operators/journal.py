@@ -12,14 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.canon import digest
+from weftline.functions.canon import string_json
 from weftline.schemas import CALL
 
 FINAL = ("ok", "not_evaluated")
 
 
 def call_id(input_id: str = "input_id", repeat: str = "repeat", version: str = "judge_version"):
-    return digest({"input_id": F.col(input_id), "repeat": F.col(repeat), "judge_version": F.col(version)})
+    """Digest of [input_id, version, repeat]."""
+    return F.sha2(F.concat(F.lit("["), string_json(F.col(input_id)), F.lit(","), string_json(F.col(version)), F.lit(","), F.col(repeat).cast("string"), F.lit("]")), 256)
 
 
 def planned(inputs: DataFrame, repeats: int, version: str) -> DataFrame:

@@ -340,7 +340,7 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 
 _K = "to_json([input_id, repeat::VARCHAR])"
-_J = f"""pl AS (SELECT DISTINCT input_id, repeat::INT AS repeat, sha256('{{"input_id":"' || input_id || '","judge_version":"{VERSION}","repeat":' || repeat || '}}') AS call_id, '{VERSION}' AS judge_version
+_J = f"""pl AS (SELECT DISTINCT input_id, repeat::INT AS repeat, sha256('["' || input_id || '","{VERSION}",' || repeat || ']') AS call_id, '{VERSION}' AS judge_version
         FROM feedback_labels, range(2) t(repeat)),
 a0 AS (SELECT pl.*, dissatisfaction.label AS own FROM pl JOIN feedback_labels USING (input_id)),
 a1 AS (SELECT *, {DRAW.format(ns='call-v1', key=_K)} AS u, {DRAW.format(ns='flip-v1', key=_K)} AS fl FROM a0),
