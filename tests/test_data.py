@@ -86,6 +86,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert dedup.duplicate_components(df.limit(0), "id").count() == 0
 
 
+def test_near_duplicates_with_edits_at_the_ends(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(82, 110))).strip() + "z" for _ in range(12)]
+    plain = "the importer skipped two rows of the nightly report and nobody noticed it till morning"
+    rows = [("a", plain), ("b", plain + "."), ("c", '"' + plain), ("d", plain[:-1])]
+    for i, t in enumerate(base):
+        cut = len(t) // 2
+        rows += [(f"p{i:02}", t), (f"q{i:02}", t + "!"), (f"o{i:02}", t[1:]), (f"r{i:02}", "> " + t), (f"n{i:02}", t[:cut] + "x" + t[cut + 1 :])]
+    classes = dedup.text_classes(spark.createDataFrame(rows, "id string, text string"), "id")
+    got = {(r["left"], r["right"]) for r in dedup.near_duplicates(classes, "id").collect()}
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            g, h = textsim.grams(x), textsim.grams(y)
+            o = len(g & h)
+            if a < b and o >= 0.95 * (len(g) * len(h)) ** 0.5 and o / len(g | h) >= 0.85:
+                want.add((a, b))
+    assert got == want and {("a", "b"), ("a", "c"), ("a", "d")} <= want and len(want) > 40
+
+
 def test_clean_splits(spark):
     near = "the same long sentence again and again " * 5
     rows = [("1", "test", "g1", "seen text"), ("2", "test", "g1", "other text"), ("3", "train", "g2", "ＳＥＥＮ text"), ("4", "calibration", "g3", "Cross pair"), ("5", "train", "g4", "cross  PAIR"), ("6", "test", "g5", "fresh text"),

@@ -1,14 +1,16 @@
 """Exact similarity of texts as sets of character 5-grams, block against block.
 
-Two texts at Jaccard similarity t or more differ by few edits: an edit takes at least 4 grams from one set and gives 5 to
-the other or the reverse, so a text with a grams is at most e = (1-t)/(1+t) * 2a / 9 edits away. Cut into e + 1 passages,
-it has a passage that no edit touched and that stands literally in the other text. Passages of one block are found in the
-texts of the other by one Aho-Corasick automaton; a 512-bit signature and the lengths then exclude most pairs by exact
-bounds and the rest are checked exactly. Texts that repeat their own grams, whose edits may be free, get more passages.
+Two sets of a and b grams at Jaccard similarity t or more share at least t * max(a, b) of them. In any fixed order of grams
+the first a - ceil(t * a) + 1 of one and b - ceil(t * b) + 1 of the other then have one in common, so an index of these
+prefixes, rare grams first, finds every pair, whatever the edits are and wherever they stand. A 512-bit signature and the
+sizes exclude most candidates by exact bounds and the rest are checked exactly.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,25 +27,16 @@ def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
-def max_edits(n_chars: int, similarity: float) -> int:
-    """Edits that two texts of this length and similarity can differ by."""
-    a = max(0, n_chars - GRAM + 1)
-    return int((1 - similarity) / (1 + similarity) * 2 * a / (2 * GRAM - 1))
-
-
-def passages(text: str, similarity: float) -> list[tuple[int, str]]:
-    """(offset, passage): e + 1 consecutive passages that cover the text."""
-    e = max_edits(len(text), similarity) + max(0, len(text) - GRAM + 1 - len(grams(text))) // (2 * GRAM - 1)
-    k = min(e + 1, max(1, len(text) // 8))
-    cuts = [len(text) * i // k for i in range(k + 1)]
-    return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
+def prefix_length(n_grams: int, similarity: float) -> int:
+    """Grams of a set, first ones of a fixed order, of which a set at this similarity or more holds one of its own first ones."""
+    return n_grams - max(1, math.ceil(similarity * n_grams - 1e-9)) + 1
 
 
 _POWERS = np.array([0x9E3779B97F4A7C15**k % 2**64 for k in range(GRAM)], dtype=np.uint64)
 
 
-def signature(text: str) -> tuple[int, np.ndarray]:
-    """(number of distinct grams, 512-bit signature). Each bit in which two signatures differ stands for a gram of one text only."""
+def hashes(text: str) -> np.ndarray:
+    """Distinct 64-bit hashes of the grams, ascending."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = max(0, len(codes) - GRAM + 1)
     h = np.zeros(n, dtype=np.uint64)
@@ -52,80 +45,81 @@ def signature(text: str) -> tuple[int, np.ndarray]:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """512 bits of the hashes. Each bit in which two signatures differ stands for a gram of one text only."""
     bits = np.zeros(64 * WORDS, dtype=np.uint8)
     bits[h % np.uint64(64 * WORDS)] = 1
-    return len(h), np.packbits(bits).view(np.uint64)
+    return np.packbits(bits).view(np.uint64)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching intervals as one."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+def shared_chars(text: str, common: set[str]) -> int:
+    """Characters of the text inside grams of the set."""
+    n, end = 0, 0
+    for i in range(len(text) - GRAM + 1):
+        if text[i : i + GRAM] in common:
+            n += i + GRAM - max(i, end)
+            end = i + GRAM
+    return n
 
 
 def match_blocks(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of a left text (id, text) that scans and a right text whose passages are searched, at the similarity or above.
+    """Pairs of a left and a right text (id, text) at the similarity or above; the right ones are indexed.
 
-    coverage is the share of the right text inside passages that stand literally in the left one. A text isn't paired with its own id.
+    coverage is the share of the right text inside grams of the left one. A text isn't paired with its own id. Texts that
+    share a hash of two grams stay candidates: set sizes are counted on grams, and a prefix takes at least as many hashes.
     """
-    import ahocorasick
-
     if not len(left) or not len(right):
         return pd.DataFrame([], columns=COLUMNS)
     texts, ids = list(right["text"]), list(right["id"])
-    owners: dict[str, list[int]] = {}
-    for k, t in enumerate(texts):
-        for p in {p for _, p in passages(t, similarity)}:
-            owners.setdefault(p, []).append(k)
-    auto = ahocorasick.Automaton()
-    for i, p in enumerate(owners):
-        auto.add_word(p, i)
-    auto.make_automaton()
-    # owners of passage i: only[i] if it has one, else more[i]
-    only = np.array([ks[0] if len(ks) == 1 else -1 for ks in owners.values()], dtype=np.int32)
-    more = {i: np.array(ks, dtype=np.int32) for i, ks in enumerate(owners.values()) if len(ks) > 1}
-    del owners
-    marks = [signature(t) for t in texts]
-    size, sig = np.array([m[0] for m in marks]), np.stack([m[1] for m in marks])
+    marks = [hashes(t) for t in texts]
+    size, sig = np.array([len(grams(t)) for t in texts]), np.stack([signature(h) for h in marks])
+    vocabulary, place, count = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), dtype=np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)  # rare grams first
+    ranks, at = rank[place], 0
+    heads = []
+    for h, n in zip(marks, size.tolist()):
+        heads.append(np.sort(ranks[at : at + len(h)])[: prefix_length(n, similarity)])
+        at += len(h)
+    keys = np.concatenate(heads)
+    order = np.argsort(keys, kind="stable")
+    owners = np.repeat(np.arange(len(heads), dtype=np.int32), [len(x) for x in heads])[order]
+    first = np.searchsorted(keys[order], np.arange(len(count) + 1))  # owners of rank r: first[r] to first[r + 1]
+    del marks, place, ranks, heads, keys, order
+    sets = functools.lru_cache(maxsize=1024)(lambda k: grams(texts[k]))
     slack = (1 - similarity) / (1 + similarity)
     rows = []
     for lid, text in zip(left["id"], left["text"]):
-        hits = {i for _, i in auto.iter(text)}
-        if not hits:
+        h = hashes(text)
+        i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        known = np.sort(rank[i[vocabulary[i] == h]])
+        g = grams(text)
+        b = len(g)
+        r = known[: max(0, prefix_length(b, similarity) - (len(h) - len(known)))]  # grams of no right text come first of all
+        near = [owners[x:y] for x, y in zip(first[r].tolist(), first[r + 1].tolist()) if x < y]
+        if not near:
             continue
-        near = only[np.fromiter(hits, dtype=np.int64, count=len(hits))]
-        if (near < 0).any():
-            near = np.concatenate([near[near >= 0], *(more[i] for i in hits & more.keys())])
-        b, mark = signature(text)
+        near = np.unique(np.concatenate(near))
         a = size[near]
         near = near[(a >= similarity * b - 1e-9) & (b >= similarity * a - 1e-9)]
-        if not len(near):
-            continue
-        apart = np.bitwise_count(sig[near] ^ mark).sum(axis=1)
+        apart = np.bitwise_count(sig[near] ^ signature(h)).sum(axis=1)
         near = near[apart <= slack * (size[near] + b) + 1e-9]
-        if not len(near):
-            continue
-        g = grams(text)
-        for k in set(near.tolist()):
+        for k in near.tolist():
             if ids[k] == lid:
                 continue
-            s = grams(texts[k])
+            s = sets(k)
             both = len(s & g)
-            j = both / (len(s) + len(g) - both)
+            j = both / (len(s) + b - both)
             if j >= similarity:
-                spans = [(at, at + len(p)) for at, p in passages(texts[k], similarity) if p in text]
-                rows.append((lid, ids[k], j, sum(y - x for x, y in merged(spans)) / len(texts[k]), len(g), len(s)))
+                rows.append((lid, ids[k], j, shared_chars(texts[k], g) / len(texts[k]), b, len(s)))
     return pd.DataFrame(rows, columns=COLUMNS)
 
 
 def similar_texts(left: DataFrame, right: DataFrame, similarity: float, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Pairs (left_id, right_id, similarity, coverage, n_left, n_right) of (id, text) tables, complete under the edit bound.
+    """Pairs (left_id, right_id, similarity, coverage, n_left, n_right) of (id, text) tables: all at the similarity or above.
 
     Texts shorter than a gram match nothing. Right texts go into shards and left texts into blocks by hash; every block
     meets every shard in a task of its own, so a task holds at most about shard + block texts whatever the skew.
