@@ -81,6 +81,24 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_of_short_texts_with_edits_at_the_ends(spark):
+    train = ["the export job stops after the third retry", "please rename the second heading of my report", "ab c" * 12 + "the end"]
+    evals = ["so, the export job stops after the third retry!", "OK please rename the second heading of my report", "please rename the secXYZheading of my report", "x" + "ab c" * 12 + "the end?"]
+    rows = [(f"t{i}", "train", t) for i, t in enumerate(train)] + [(f"e{i}", "test", t) for i, t in enumerate(evals)]
+    got = {(r["train_input"], r["eval_input"]): r for r in overlap.overlaps(spark.createDataFrame(rows, "input_id string, split string, text string")).collect()}
+    from weftline.functions.text import fold_text
+    from weftline.operators.textsim import grams
+
+    want = {}
+    for i, x in enumerate(train):
+        for k, y in enumerate(evals):
+            g, h = grams(fold_text(x)), grams(fold_text(y))
+            if len(g & h) / len(g | h) >= 0.7:
+                want[f"t{i}", f"e{k}"] = len(g & h) / len(g | h)
+    assert set(got) == set(want) and {("t0", "e0"), ("t1", "e1"), ("t2", "e3")} <= set(want)
+    assert all(abs(got[p]["similarity"] - x) < 1e-9 for p, x in want.items()) and abs(got["t0", "e0"]["coverage"] - 43 / 47) < 1e-9
+
+
 # 4: personal information
 LEX = pii.Lexicon({"iris", "corvenby", "vetrohval", "lidiya", "julian"})
 
