@@ -173,3 +173,35 @@ def test_census(spark):
     assert b == {"dissatisfaction": (2, 0.5, 0.25, 0.75), "correction": (1, 0.0, 0.0, 0.75)}
     assert {r["tag"]: r["n"] for r in census.tag_counts(lab).collect()} == {"t": 2, "u": 1}
     assert census.sessions_with_yes(inp, lab).first()["sessions"] == 1 and census.task_overlap(lab).count() == 1
+
+
+def test_features_of_documents(spark, tmp_path):
+    from weftline.plans import registry
+
+    texts = {1: "The Export stops,  the export", 2: "the EXPORT resumed at noon", 3: "ab", 4: "Noon at\n\nthe export " * 8, 5: None, 6: "стоп Стоп"}
+    spark.createDataFrame([*texts.items(), (2, texts[2])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    low = {k: " ".join(t.lower().split()) + (" " if t != t.rstrip() else "") for k, t in texts.items() if t}
+    tf = {k: {} for k in low}
+    for k, t in low.items():
+        for n in (3, 4, 5):
+            for i in range(len(t) - n + 1):
+                tf[k][t[i : i + n]] = tf[k].get(t[i : i + n], 0) + 1
+    df = {}
+    for x in tf.values():
+        for g in x:
+            df[g] = df.get(g, 0) + 1
+    assert {r["gram"]: r["n_documents"] for r in run("document_char_shingles")} == df and df["expor"] == 3
+    want = {}
+    for k, x in tf.items():
+        w = {g: (1 + math.log(n)) * (math.log(7 / (1 + df[g])) + 1) for g, n in x.items() if df[g] >= 2}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        want |= {(k, g): v / norm for g, v in w.items()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in run("document_tfidf_char")}
+    assert set(got) == set(want) and all(abs(got[p] - v) < 1e-7 for p, v in want.items())
+    words = {(r["doc_id"], r["term"]) for r in run("document_tfidf_word")}
+    assert {(1, "the export"), (2, "noon"), (4, "at")} <= words and not any(t == "resumed" for _, t in words)
+    cover = {}
+    for r in run("document_token_windows"):
+        cover[r["doc_id"]] = cover.get(r["doc_id"], 0) + r["weight"]
+    assert {k: cover[k] for k in low} == {k: len(texts[k]) for k in low}

@@ -260,6 +260,35 @@ def tfidf_char(spark, d):
     return features.tfidf(x, "item_id", features.char_ngrams(F.col("text"), 3, 3), 2, 60_000).withColumn("weight", F.round("weight", 8))
 
 
+def _documents(spark, d):
+    return table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text").distinct()
+
+
+def _lowered(spark, d):
+    """Texts in lower case with runs of white space as one space, made once for each row: grams would repeat the work at every offset."""
+    return table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.regexp_replace(F.lower("text"), r"(?U)\s\s+", " ").alias("text")).distinct()
+
+
+def document_char_shingles(spark, d):
+    """Document frequency of character 3- to 5-grams of documents in lower case."""
+    t = _lowered(spark, d).select("doc_id", F.explode(F.array_distinct(features.char_ngrams(F.col("text")))).alias("gram"))
+    return t.groupBy("gram").agg(F.count("*").alias("n_documents"))
+
+
+def document_tfidf_word(spark, d):
+    return features.tfidf(_documents(spark, d), "doc_id", features.word_ngrams(F.col("text")), 2, 40_000).withColumn("weight", F.round("weight", 8))
+
+
+def document_tfidf_char(spark, d):
+    return features.tfidf(_lowered(spark, d), "doc_id", features.char_ngrams(F.col("text")), 2, 60_000).withColumn("weight", F.round("weight", 8))
+
+
+def document_token_windows(spark, d):
+    """Windows of 64 characters over documents with the weight of newly covered characters."""
+    x = _documents(spark, d).select("doc_id", F.explode(features.token_windows(F.length("text"), 64)).alias("w"))
+    return x.select("doc_id", "w.start", "w.end", "w.weight")
+
+
 def linear_head_scores(spark, d):
     """Three fixed linear heads on the stored vectors."""
     dim = len(table(spark, d, "embeddings").select("embedding").first()[0])
@@ -335,6 +364,7 @@ _ALL = (
     repeat_agreement, judge_confusion, judge_per_class, judge_agreement, disagreements, feedback_validation, answer_validation, softmax_probabilities, confusion3, classification_metrics, nll_brier,
     task_metrics, choose_thresholds, recall_precision_threshold, average_precision, yes_metrics, label_prior, threshold_winner, paired_outcomes, session_routing, prevalence_design_exact,
     prevalence_simulation, cluster_bootstrap, paired_bootstrap, char_shingles, tfidf_word, tfidf_char, linear_head_scores, weighted_pooling, logit_window_aggregate, token_windows, lr_head,
+    document_char_shingles, document_tfidf_word, document_tfidf_char, document_token_windows,
     temperature_fit, census_counts, census_bounds, census_sessions, tag_counts, task_overlap, target_matrix, pilot_gate,
 )
 QUERIES = {f.__name__: f for f in _ALL}
