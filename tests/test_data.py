@@ -171,3 +171,14 @@ def test_streams(spark, tmp_path):
     w = stream.windowed_counts(src, "received_ts", "event_id").writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert {(r["event_id"], r["n"]) for r in spark.table("win").collect()} == {("1", 3), ("2", 1)}
+
+
+def test_clean_splits_query_keeps_long_texts(spark, tmp_path):
+    from weftline.plans import feedback_queries as fq
+
+    long = " ".join(f"word{i}" for i in range(110))
+    rows = [("a", "test", long), ("b", "train", long.upper()), ("c", "train", "x" * 100_001)]
+    df = spark.createDataFrame([(i, "t", f"s{i}", f"m{i}", t, "en", None, s, "src", True) for i, s, t in rows], "input_id string, tenant_id string, session_id string, message_id string, text string, language string, group_id string, split string, source_dataset string, history_available boolean")
+    df.write.parquet(str(tmp_path / "feedback_inputs.parquet"))
+    got = {r["input_id"]: r["reason"] for r in fq.clean_splits(spark, str(tmp_path)).collect()}
+    assert len(long) > 600 and got == {"a": None, "b": "duplicate_in_higher_priority_split", "c": "judge_input_limit"}

@@ -155,7 +155,7 @@ def duplicate_components(spark, d):
 def _cleaned(spark, d):
     x = inputs(spark, d).filter("split IS NOT NULL").withColumn("group_id", F.coalesce("group_id", "session_id"))
     seen = x.filter("split = 'test' AND source_dataset = 'synthetic-seed'")
-    return x, dedup.clean_splits(x, dedup.duplicate_components(x, "input_id"), seen, limit=600)
+    return x, dedup.clean_splits(x, dedup.duplicate_components(x, "input_id"), seen, limit=100_000)
 
 
 def clean_splits(spark, d):
