@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import running_sums
+
 
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     """Probabilities of an array of logits, shifted by the maximum."""
@@ -71,20 +73,24 @@ def binary_metrics(df: DataFrame, positive: Column, score: Column, threshold: fl
 
 
 def score_steps(df: DataFrame, positive: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, score, tp, fp, positives): cumulative counts at each distinct score, descending; ties fall in one step.
+    """(by, score, hits, tp, fp, positives): positives at each distinct score and cumulative counts, descending; ties fall in one step.
 
-    The running sum is over distinct scores. Group by a rounded score first if these are too many for one sorted task.
+    Null and NaN scores are left out. The running sums come from range partitions, so one group may have any number of scores.
     """
-    d = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(*by, "score", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(Window.partitionBy(*by)).alias("positives"))
+    d = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(positive).alias("hits"), F.count_if(~positive).alias("misses"))
+    r = running_sums(d, by, [F.desc("score")], ["hits", "misses"]).withColumnsRenamed({"run_hits": "tp", "run_misses": "fp"})
+    if not by:
+        return r.crossJoin(F.broadcast(d.agg(F.sum("hits").alias("positives")))).select("score", "hits", "tp", "fp", "positives")  # one row
+    total = r.groupBy(*[F.col(b).alias(f"__k_{b}") for b in by]).agg(F.max("tp").alias("positives"))
+    cond = F.lit(True)
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
+    return r.join(total, cond).select(*by, "score", "hits", "tp", "fp", "positives")
 
 
 def average_precision(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, average_precision): sum of recall gains times precision; null without positives."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    gain = (F.col("tp") - F.coalesce(F.lag("tp").over(w), F.lit(0))) / F.col("positives")
-    d = steps.filter("positives > 0").withColumn("__x", gain * F.col("tp") / (F.col("tp") + F.col("fp")))
+    d = steps.filter("positives > 0").withColumn("__x", F.col("hits") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return d.groupBy(*by).agg(F.sum("__x").alias("average_precision"))
 
 

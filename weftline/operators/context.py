@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.canon import digest, split_for
 from weftline.operators.events import KEY, targets
-from weftline.operators.hierarchy import hierarchy
+from weftline.operators.hierarchy import CHILD, ORPHAN, ROOT, climb, hierarchy, linked
 from weftline.session import materialize
 
 TRACE = ("tenant_id", "trace_id")
@@ -44,16 +44,60 @@ def budgeted(events: DataFrame, max_chars: int = 12000) -> DataFrame:
     return a.withColumn("kept", F.col("visible") & ((F.col("size") <= max_chars) | (F.col("distance") == 0))).drop("len", "seen")
 
 
+def kept_context(events: DataFrame, max_chars: int = 12000) -> DataFrame:
+    """One row for each target: its own columns, chain, len, kept, n_visible.
+
+    kept holds the ancestors inside the budget, nearest first: structs (id, size, distance), size being the visible
+    characters from that ancestor up to the parent; n_visible counts all visible ancestors. Every node climbs to its root in
+    doubling steps (see hierarchy.climb) but carries only what one budget can hold, so a chain of a million turns costs no
+    more for each target than the budget does. Targets on or below a cycle have no causal order and no row. Rows with a
+    null event_id are ignored; events are expected once each (see events.normalize).
+    """
+    seen = (F.col("visibility") == "user_visible") & (F.col("status") == "completed") & (F.col("role") != "system")
+    s = ["__s0", "__s1"]
+    e = events.filter("event_id IS NOT NULL").select(
+        F.col("tenant_id").alias("__s0"), F.col("trace_id").alias("__s1"), F.col("event_id").alias("__n"), F.col("parent_id").alias("__p"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("__len"), F.coalesce(seen, F.lit(False)).alias("__seen"),
+    )
+    nodes = linked(e, s, "__len", "__seen")
+    size = F.when(F.col("u__seen"), F.col("u__len")).otherwise(F.lit(0).cast("long"))
+    first = F.struct(F.col("__p").alias("id"), size.alias("size"), F.lit(1).cast("long").alias("distance"))
+    none = F.array().cast(f"array<struct<id:{e.schema['__n'].dataType.simpleString()},size:bigint,distance:bigint>>")
+    zero = F.lit(0).cast("long")
+    done = nodes.filter(F.col("__state").isin(ROOT, ORPHAN)).select(
+        *s, "__n", F.when(F.col("__state") == ROOT, "complete").otherwise("missing_parent").alias("__chain"), none.alias("__kept"), zero.alias("__total"), zero.alias("__visible"), zero.alias("__levels")
+    )
+    pending = nodes.filter(F.col("__state") == CHILD).select(
+        *s, "__n", F.col("__p").alias("__anc"), F.lit(None).cast("string").alias("__chain"), F.when(F.col("u__seen") & (size <= max_chars), F.array(first)).otherwise(none).alias("__kept"),
+        size.alias("__total"), F.col("u__seen").cast("long").alias("__visible"), F.lit(1).cast("long").alias("__levels"),
+    )
+    further = F.transform(F.filter("u__kept", lambda x: x.size + F.col("__total") <= max_chars), lambda x: F.struct(x.id.alias("id"), (x.size + F.col("__total")).alias("size"), (x.distance + F.col("__levels")).alias("distance")))
+    merge = {
+        "__chain": F.col("u__chain"), "__kept": F.concat("__kept", further), "__total": F.col("__total") + F.col("u__total"),
+        "__visible": F.col("__visible") + F.col("u__visible"), "__levels": F.col("__levels") + F.col("u__levels"),
+    }
+    blocks = climb(done, pending, s, merge)
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    own = targets(events).withColumn("len", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    cond = own["event_id"].eqNullSafe(out["__n"]) & own["tenant_id"].eqNullSafe(out["__s0"]) & own["trace_id"].eqNullSafe(out["__s1"])
+    kept = F.filter("__kept", lambda x: x.size + F.col("len") <= max_chars)
+    return own.join(out, cond).select(*own.columns, F.col("__chain").alias("chain"), kept.alias("kept"), F.col("__visible").alias("n_visible"))
+
+
+def _status(max_chars: int) -> tuple[Column, Column, Column]:
+    """(context_status, omitted_ancestors, context_chars) of a row of kept_context()."""
+    omitted = F.col("n_visible") - F.size("kept")
+    chars = F.col("len") + F.when(F.size("kept") > 0, F.element_at("kept", -1).size).otherwise(0)
+    status = F.when(F.col("chain") != "complete", F.col("chain")).when((omitted > 0) | (chars > max_chars), "truncated").otherwise("complete")
+    return status, omitted, chars
+
+
 def context_rows(events: DataFrame, max_chars: int = 12000) -> DataFrame:
     """(key of the target, context_status, omitted_ancestors, n_context, context_chars): one row for each target."""
-    b = budgeted(events, max_chars)
-    kept = F.col("kept")
-    out = b.groupBy(*TRACE, F.col("target").alias("event_id")).agg(
-        F.first("chain").alias("chain"), F.count_if(F.col("visible") & ~kept).alias("omitted_ancestors"), F.count_if(kept).alias("n_context"),
-        F.max(F.when(kept, F.col("size"))).alias("context_chars"),
-    )
-    status = F.when(F.col("chain") != "complete", F.col("chain")).when((F.col("omitted_ancestors") > 0) | (F.col("context_chars") > max_chars), "truncated").otherwise("complete")
-    return out.select(*KEY, status.alias("context_status"), "omitted_ancestors", "n_context", "context_chars")
+    status, omitted, chars = _status(max_chars)
+    return kept_context(events, max_chars).select(*KEY, status.alias("context_status"), omitted.alias("omitted_ancestors"), (F.size("kept") + 1).cast("long").alias("n_context"), chars.alias("context_chars"))
 
 
 def examples(events: DataFrame, max_chars: int = 12000, seed: int = 42) -> DataFrame:
@@ -61,18 +105,15 @@ def examples(events: DataFrame, max_chars: int = 12000, seed: int = 42) -> DataF
 
     input_id is the SHA-256 of the canonical JSON of the identity, so a parent that arrives later changes it.
     """
-    b, _ = materialize(budgeted(events, max_chars), "budget")
-    text = events.select(*TRACE, F.col("event_id").alias("ancestor"), "role", "text")
-    kept = b.filter("kept").join(text, [*TRACE, "ancestor"])
-    turn = F.struct(F.col("ancestor").alias("event_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    ctx = kept.groupBy(*TRACE, "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), turn.alias("t")))).alias("c"))  # at most max_chars long
-    flags = b.groupBy(*TRACE, "target").agg(
-        F.first("chain").alias("chain"), F.count_if(F.col("visible") & ~F.col("kept")).alias("omitted_ancestors"), F.max(F.when(F.col("kept"), F.col("size"))).alias("chars")
-    )
-    own = events.select(*TRACE, F.col("event_id").alias("target"), "branch_id", "language", F.coalesce("group_id", "trace_id").alias("group_id"))
-    j = ctx.join(flags, [*TRACE, "target"]).join(own, [*TRACE, "target"]).withColumn("context", F.transform("c", lambda x: x.t))
-    status = F.when(F.col("chain") != "complete", F.col("chain")).when((F.col("omitted_ancestors") > 0) | (F.col("chars") > max_chars), "truncated").otherwise("complete")
-    j = j.withColumn("context_status", status)
+    status, omitted, _ = _status(max_chars)
+    k, _ = materialize(kept_context(events, max_chars).withColumns({"context_status": status, "omitted_ancestors": omitted}), "kept")
+    pair = k.select(*TRACE, F.col("event_id").alias("target"), F.explode("kept").alias("x")).select(*TRACE, "target", F.col("x.id").alias("event_id"), F.col("x.distance").alias("distance"))
+    turn = lambda text: F.struct("event_id", "role", F.coalesce(text, F.lit("")).alias("text"))
+    turns = pair.join(events.select(*KEY, "role", "text"), list(KEY)).select(*TRACE, "target", F.struct((-F.col("distance")).alias("o"), turn(F.col("text")).alias("t")).alias("x"))
+    before = turns.groupBy(*TRACE, "target").agg(F.array_sort(F.collect_list("x")).alias("c"))  # at most max_chars of text for each target
+    j = k.withColumn("target", F.col("event_id")).withColumn("own", turn(F.col("text"))).drop("event_id", "role", "text").join(before, [*TRACE, "target"], "left")
+    past = F.coalesce(F.transform("c", lambda x: x.t), F.array().cast(j.select(F.array("own")).schema[0].dataType))
+    j = j.withColumn("context", F.concat(past, F.array("own"))).withColumn("group_id", F.coalesce("group_id", "trace_id"))
     identity = {c: F.col(c) for c in ("tenant_id", "trace_id", "branch_id", "context", "context_status")} | {
         "target_event_id": F.col("target"), "metric_version": F.lit(METRIC_VERSION), "input_version": F.lit(INPUT_VERSION),
         "omitted_ancestors": F.col("omitted_ancestors"), "max_chars": F.lit(max_chars),

@@ -18,10 +18,80 @@ from pyspark.sql import functions as F
 from weftline.session import drop_path, materialize
 
 ROOT, ORPHAN, CHILD, CYCLE = "root", "orphan_root", "child", "cycle"
-ROWS = 25_000  # nodes for each output partition of a round
+ROWS = 25_000  # rows that a round reads for each of its output partitions
 SHRINK = 6  # finished trees leave the search when the pending nodes have shrunk by this factor
 
 
+def _all(blocks: Sequence[DataFrame]) -> DataFrame:
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
+
+
+def climb(done: DataFrame, pending: DataFrame, scope: Sequence[str], merge: dict[str, Column], keep: Column | None = None) -> list[DataFrame]:
+    """Blocks of finished nodes (scope, __n, payload...), the roots first; nodes on or below a cycle are in none of them.
+
+    done: scope, __n, payload of the roots; pending: scope, __n, __anc and the payload of the path from the node up to, but
+    without, its ancestor __anc, the parent. merge makes the payload of the longer path from the node's own columns and
+    the ancestor's, which are named with a leading u. keep drops pending rows that can't reach a root. Each round joins the
+    pending nodes with all nodes of trees that aren't finished and doubles the levels that a pending node has climbed. A
+    round in which nobody reaches a root is the last: what still waits runs in circles.
+    """
+    spark = done.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    payload = list(merge)
+    blocks, live = [done], [done]  # live: what pending nodes may still meet
+    size, waiting = done.count() + pending.count(), -1
+    while True:
+        known = _all(live)
+        marks = [f"u{c}" for c in scope]
+        upper = lambda x, far: x.select(*[F.col(c).alias(m) for c, m in zip(scope, marks)], F.col("__n").alias("u__n"), far.alias("__far"), *[F.col(c).alias(f"u{c}") for c in payload])
+        look = upper(known, F.lit(None).cast(pending.schema["__anc"].dataType)).unionByName(upper(pending, F.col("__anc")))
+        cond = pending["__anc"] == look["u__n"]
+        for c, m in zip(scope, marks):
+            cond = cond & pending[c].eqNullSafe(look[m])
+        step = pending.join(look, cond).select(*scope, "__n", F.col("__far").alias("__anc"), *[e.alias(c) for c, e in merge.items()])
+        if keep is not None:
+            step = step.filter(F.col("__anc").isNull() | keep)
+        tasks = 2 * size // ROWS + 1  # by the rows that the join reads on each side
+        if tasks < parts:
+            step = step.coalesce(tasks)
+        seen = Observation()
+        made, at = materialize(step.observe(seen, F.count_if(F.col("__anc").isNull()).alias("reached"), F.count_if(F.col("__anc").isNotNull()).alias("pending")), "block")
+        reached_now, waiting = seen.get["reached"], seen.get["pending"]
+        if not reached_now:
+            drop_path(spark, at)
+            return blocks
+        blocks.append(made.filter("__anc IS NULL").drop("__anc"))
+        live.append(blocks[-1])
+        if not waiting:
+            return blocks
+        pending = made.filter("__anc IS NOT NULL")
+        if scope and waiting * SHRINK < size:
+            # most trees are finished: keep only nodes of scopes that still wait
+            near, wait = _all(live), pending.select(*[F.col(c).alias(f"u{c}") for c in scope]).distinct()
+            cond = F.lit(True)
+            for c in scope:
+                cond = cond & near[c].eqNullSafe(wait[f"u{c}"])
+            kept = Observation()
+            near = near.join(wait, cond, "left_semi")
+            if tasks < parts:
+                near = near.coalesce(tasks)
+            live = [materialize(near.observe(kept, F.count(F.lit(1)).alias("n")), "live")[0]]
+            size = kept.get["n"] + waiting
+
+
+def linked(nodes: DataFrame, scope: Sequence[str], *carried: str) -> DataFrame:
+    """nodes (scope, __n, __p, ...) with __state and, named with a leading u, the carried columns of the parent; written once."""
+    up = nodes.select(*[F.col(c).alias(f"u{c}") for c in scope], F.col("__n").alias("u__n"), *[F.col(c).alias(f"u{c}") for c in carried])
+    cond = nodes["__p"] == up["u__n"]
+    for c in scope:
+        cond = cond & nodes[c].eqNullSafe(up[f"u{c}"])
+    state = F.when(F.col("__p").isNull(), ROOT).when(F.col("__p") == F.col("__n"), CYCLE).when(F.col("u__n").isNull(), ORPHAN).otherwise(CHILD)
+    return materialize(nodes.join(up, cond, "left").select(*[nodes[c] for c in nodes.columns], *[f"u{c}" for c in carried], state.alias("__state")), "nodes")[0]
+
+
 def hierarchy(df: DataFrame, id_col: str, parent_col: str, scope: Sequence[str] = ()) -> DataFrame:
     """One row for each node: scope columns, id, parent, root, depth, path, state.
 
@@ -33,88 +103,27 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, scope: Sequence[str]
     """
     s = [f"__s{i}" for i in range(len(scope))]
     plain = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(scope, s)], F.col(f"`{id_col}`").alias("__n"), F.col(f"`{parent_col}`").alias("__p"))
-    nodes = plain.filter(F.col("__n").isNotNull()).groupBy(*s, "__n").agg(F.min("__p").alias("__p"))
-
-    def same(left: DataFrame, right: DataFrame, key: str, marks: Sequence[str]) -> Column:
-        cond = left[key] == right["__a"]
-        for k, m in zip(s, marks):
-            cond = cond & left[k].eqNullSafe(right[m])
-        return cond
-
-    marks = [f"__m{i}" for i in range(len(s))]
-
-    def marked(x: DataFrame, *cols: Column) -> DataFrame:
-        return x.select(*[F.col(k).alias(m) for k, m in zip(s, marks)], F.col("__n").alias("__a"), *cols)
-
-    ids = marked(nodes)
-    state = (
-        F.when(F.col("__p").isNull(), ROOT)
-        .when(F.col("__p") == F.col("__n"), CYCLE)
-        .when(F.col("__a").isNull(), ORPHAN)
-        .otherwise(CHILD)
-    )
-    begin, begin_at = materialize(nodes.join(ids, same(nodes, ids, "__p", marks), "left").select(*s, "__n", "__p", state.alias("__state")), "nodes")
-    reached = begin.filter(F.col("__state").isin(ROOT, ORPHAN)).select(
-        *s, "__n", "__p", F.col("__n").alias("__root"), F.lit(0).cast("long").alias("__depth"), F.array("__n").alias("__path"), "__state"
-    )
-    pending = begin.filter(F.col("__state") == CHILD).select(*s, "__n", "__p", F.col("__p").alias("__anc"), F.array("__n").alias("__seg"))
-    blocks = [reached]
-    live = [reached]  # what pending nodes may still meet
-    size = begin.count()
-    waiting = size
-    while True:
-        known = live[0]
-        for b in live[1:]:
-            known = known.unionByName(b)
-        none = F.lit(None).cast(begin.schema["__n"].dataType)
-        look = marked(known, F.col("__root"), F.col("__depth"), F.col("__path").alias("__up"), none.alias("__far")).unionByName(
-            marked(pending, none.alias("__root"), F.lit(None).cast("long").alias("__depth"), F.col("__seg").alias("__up"), F.col("__anc").alias("__far"))
-        )
-        step = (
-            pending.join(look, same(pending, look, "__anc", marks))
-            .select(*s, "__n", "__p", "__root", (F.col("__depth") + F.size("__seg")).alias("__depth"), F.concat("__up", "__seg").alias("__path"), F.col("__far").alias("__anc"))
-            .filter(F.col("__root").isNotNull() | (F.size(F.array_distinct("__path")) == F.size("__path")))
-        )
-        if 2 * size < ROWS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-            step = step.coalesce(2 * size // ROWS + 1)
-        seen = Observation()
-        done, at = materialize(step.observe(seen, F.count_if(F.col("__root").isNotNull()).alias("reached"), F.count_if(F.col("__root").isNull()).alias("pending")), "block")
-        reached_now, waiting = seen.get["reached"], seen.get["pending"]
-        if reached_now:
-            blocks.append(done.filter(F.col("__root").isNotNull()).select(*s, "__n", "__p", "__root", "__depth", "__path", F.lit(CHILD).alias("__state")))
-            live.append(blocks[-1])
-        else:
-            drop_path(df.sparkSession, at)
-        if not reached_now or not waiting:
-            break
-        pending = done.filter(F.col("__root").isNull()).select(*s, "__n", "__p", "__anc", F.col("__path").alias("__seg"))
-        if s and waiting * SHRINK < size:
-            # most trees are finished: keep only nodes of scopes that still wait
-            near = live[0]
-            for b in live[1:]:
-                near = near.unionByName(b)
-            open_scopes = pending.select(*[F.col(k).alias(m) for k, m in zip(s, marks)]).distinct()
-            cond = F.lit(True)
-            for k, m in zip(s, marks):
-                cond = cond & near[k].eqNullSafe(open_scopes[m])
-            live = [materialize(near.join(open_scopes, cond, "left_semi").coalesce(waiting * SHRINK // ROWS + 1), "live")[0]]
-            size = waiting
-    late = begin.filter(F.col("__state").isin(CHILD, CYCLE))
+    nodes = linked(plain.filter(F.col("__n").isNotNull()).groupBy(*s, "__n").agg(F.min("__p").alias("__p")), s)
+    own = [*s, "__n", "__p"]
+    done = nodes.filter(F.col("__state").isin(ROOT, ORPHAN)).select(*own, F.array("__n").alias("__path"), "__state")
+    pending = nodes.filter(F.col("__state") == CHILD).select(*own, F.col("__p").alias("__anc"), F.array("__n").alias("__path"), "__state")
+    merge = {"__p": F.col("__p"), "__path": F.concat("u__path", "__path"), "__state": F.col("__state")}
+    # a path that repeats a node has run into a cycle
+    blocks = climb(done, pending, s, merge, F.size(F.array_distinct("__path")) == F.size("__path"))
+    late = nodes.filter(F.col("__state").isin(CHILD, CYCLE)).select(*own)
     for b in blocks[1:]:
-        hit = marked(b)
-        late = late.join(hit, same(late, hit, "__n", marks), "left_anti")
-    unreached = late.select(
-        *s, "__n", "__p", F.lit(None).cast(begin.schema["__n"].dataType).alias("__root"), F.lit(None).cast("long").alias("__depth"),
-        F.lit(None).cast(reached.schema["__path"].dataType).alias("__path"), F.lit(CYCLE).alias("__state"),
-    )
-    out = unreached
-    for b in blocks:
-        out = out.unionByName(b)
+        hit = b.select(*[F.col(k).alias(f"u{k}") for k in s], F.col("__n").alias("u__n"))
+        cond = late["__n"] == hit["u__n"]
+        for k in s:
+            cond = cond & late[k].eqNullSafe(hit[f"u{k}"])
+        late = late.join(hit, cond, "left_anti")
+    out = _all([late.select(*own, F.lit(None).cast(done.schema["__path"].dataType).alias("__path"), F.lit(CYCLE).alias("__state")), *blocks])
     taken = {*scope, id_col}
     name = lambda x: x if x not in taken else f"{x}_"
+    depth = F.when(F.col("__path").isNotNull(), F.size("__path") - 1).cast("long")
     return out.select(
         *[F.col(k).alias(c) for c, k in zip(scope, s)], F.col("__n").alias(id_col), F.col("__p").alias(name(parent_col)),
-        F.col("__root").alias(name("root")), F.col("__depth").alias(name("depth")), F.col("__path").alias(name("path")), F.col("__state").alias(name("state")),
+        F.col("__path")[0].alias(name("root")), depth.alias(name("depth")), F.col("__path").alias(name("path")), F.col("__state").alias(name("state")),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.canon import seeded, string_json
 from weftline.operators.ranking import global_sequence
+from weftline.session import materialize
 
 
 def ordering(df: DataFrame, key: str, namespace: str, seed: int = 42) -> DataFrame:
@@ -63,25 +64,31 @@ def nested_prefix(groups: DataFrame, group: str, size_col: str, sizes: Sequence[
     return run.withColumn("size", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))).filter("before < size").select("size", group, "n")
 
 
+def _lowest(df: DataFrame, by: Sequence[str], key: str, n: int) -> DataFrame:
+    """The n rows of each group that hash lowest. 256 buckets by the first hash byte are cut down first, so no task ranks a hot group whole."""
+    cell = F.substring("__h", 1, 2)
+    part = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by, cell).orderBy("__h", key))).filter(F.col("__r") <= n)
+    return part.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h", key))).filter(F.col("__r") <= n).drop("__r")
+
+
 def greedy_exclusive(df: DataFrame, key: str, label: str, text: str, session: str, per_class: int, namespace: str = "tuning-v1", seed: int = 42) -> DataFrame:
     """(key, label): per_class keys of each label in hash order, with no text and no session taken twice across all labels.
 
-    Order-dependent by nature: labels in ascending order, keys by hash. Only candidates that can matter reach the one task
-    that decides: the lowest keys of each (label, text) and (label, session), and of these per label the first
-    per_class * (labels * per_class + 1), since every pick blocks at most one text and one session.
+    Order-dependent by nature: labels in ascending order, keys by hash; rows with a null label, text or session take no
+    part. One task decides over candidates that provably hold every pick. With P = labels * per_class picks at most, a pick
+    is the lowest row of its (label, text, session); the rows of its (label, text) before it were blocked by the sessions of
+    other picks, one session each, so it is among the P + 1 lowest there, and likewise among those of its (label, session).
+    Of such rows each pick blocks at most P + 1 by its text and P + 1 by its session, so the picks of a label are among its
+    first 2 * P * (P + 1) + per_class.
     """
     d = ordering(df.filter(f"`{label}` IS NOT NULL AND `{text}` IS NOT NULL AND `{session}` IS NOT NULL").select(key, label, text, session), key, namespace, seed)
     d = d.withColumn("__t", F.sha2(text, 256)).drop(text)
     first = d.groupBy(label, "__t", session).agg(F.min(F.struct("__h", key)).alias("x")).select(label, "__t", session, "x.*")
-    labels = first.select(label).distinct().count()
-    keep = (2 * labels * per_class + 1) * per_class
-    cell = F.conv(F.substring("__h", 1, 2), 16, 10)
-    w1 = Window.partitionBy(label, cell).orderBy("__h", key)
-    w2 = Window.partitionBy(label).orderBy("__h", key)
-    first = first.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= keep).withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= keep)
+    first, _ = materialize(first, "candidates")
+    picks = first.select(label).distinct().count() * per_class
+    few = _lowest(_lowest(first, [label, "__t"], key, picks + 1).join(_lowest(first, [label, session], key, picks + 1).select(key, label, "__t", session), [key, label, "__t", session], "left_semi"), [label], key, 2 * picks * (picks + 1) + per_class)
 
     types = dict(df.dtypes)
-    few = first.select(key, label, "__t", session, "__h").coalesce(1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = pd.concat([pd.DataFrame(columns=[key, label, "__t", session, "__h"]), *frames], ignore_index=True)
@@ -95,4 +102,4 @@ def greedy_exclusive(df: DataFrame, key: str, label: str, text: str, session: st
                 out.append((k, lab))
         yield pd.DataFrame(out, columns=[key, label])
 
-    return few.mapInPandas(run, f"`{key}` {types[key]}, `{label}` {types[label]}")
+    return few.select(key, label, "__t", session, "__h").coalesce(1).mapInPandas(run, f"`{key}` {types[key]}, `{label}` {types[label]}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import context, events
 from weftline.session import materialize, table
 
-MAX_CHARS = 2000
+MAX_CHARS = 12_000
 
 
 def _raw(spark, d):
@@ -47,7 +47,7 @@ def ancestor_closure(spark, d):
 
 
 def context_budget(spark, d):
-    """Which ancestors of which target fit a budget of 2,000 characters."""
+    """Which ancestors of which target fit the budget of 12,000 characters."""
     return context.budgeted(_events(spark, d), MAX_CHARS).select("tenant_id", "trace_id", "target", "ancestor", "distance", "visible", "kept", "size")
 
 

@@ -30,14 +30,21 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs only)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local.
+
+    On a cluster without the setting this raises: a folder of the driver's machine isn't shared.
+    """
     global _own
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         holder = tempfile.TemporaryDirectory(prefix="weftline-", ignore_cleanup_errors=True)
         atexit.register(holder.cleanup)
@@ -49,19 +56,39 @@ def shared_path(spark: SparkSession, name: str = "t") -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
+
+    The table goes when it is dropped, at release(), or at the latest when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all tables that materialize() has written and nobody dropped; results that weren't read yet are lost. Returns their number."""
+    paths = list(_written)
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
