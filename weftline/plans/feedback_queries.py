@@ -219,6 +219,50 @@ _EVAL = _C + """, t AS (SELECT m.tenant_id, m.trace_id, count(*) FILTER (label =
         count(*) FILTER (pos AND routed) / nullif(count(*) FILTER (pos), 0) AS actual_routing_trace_recall, sum(mh) / nullif(sum(ny), 0) AS model_message_recall,
         coalesce(sum(ny) FILTER (filter_selected), 0) / nullif(sum(ny), 0) AS filter_message_coverage, count(*) FILTER (pos AND filter_selected) AS filter_hits FROM z"""
 _SPLIT = DRAW.format(ns="split-v1", key="to_json([tenant_id, group_id])")
+# fixed values: what folding changes in these tables (full-width forms, blanks, numero and ordinal signs, sharp s)
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def folded_sql(c: str) -> str:
+    return f"""trim(regexp_replace(replace(replace(replace(lower(translate({c}, '{_WIDE}' || chr(12288) || chr(160) || chr(8195), '{_NARROW}' || '   ')), chr(8470), 'no'), chr(223), 'ss'), chr(186), 'o'), '\\s+', ' ', 'g'))"""
+
+
+_GRAMS = "list_distinct([substr({0}, i, 5) for i in range(1, length({0}) - 3)])"
+
+
+def _near(rows: str) -> str:
+    """class, link and component tables of rows (input_id, text)."""
+    return f"""fo AS (SELECT input_id, min({folded_sql('text')}) AS folded FROM {rows} WHERE text IS NOT NULL GROUP BY ALL),
+cl AS (SELECT input_id, min(input_id) OVER (PARTITION BY folded) AS class, folded FROM fo),
+rp AS (SELECT input_id, length(folded) AS len, {_GRAMS.format('folded')} AS grams FROM cl WHERE input_id = class AND length(folded) >= 80),
+gr AS (SELECT input_id, len, len(grams) AS k, unnest(grams) AS g FROM rp),
+pr AS (SELECT a.input_id AS "left", b.input_id AS "right", a.k AS x, b.k AS y, a.len AS la, b.len AS lb, count(*) AS sh FROM gr a JOIN gr b ON a.g = b.g AND a.input_id < b.input_id GROUP BY ALL),
+li AS (SELECT "left", "right", sh / sqrt(x * y) AS cosine, sh / (x + y - sh) AS jaccard FROM pr
+       WHERE sh / sqrt(x * y) >= 0.95 - 1e-9 AND sh / (x + y - sh) >= 0.85 AND least(la, lb) >= 0.85 * greatest(la, lb)),
+ed AS (SELECT "left" AS a, "right" AS b FROM li UNION SELECT "right", "left" FROM li UNION SELECT DISTINCT class, class FROM cl),
+rc AS (SELECT a, b AS root FROM ed UNION SELECT ed.a, rc.root FROM rc JOIN ed ON ed.b = rc.a),
+co AS (SELECT a AS class, min(root) AS component FROM rc GROUP BY ALL),
+dc AS (SELECT input_id, class, component, (SELECT count(*) FROM li WHERE "left" = class OR "right" = class) AS n_links FROM cl JOIN co USING (class))"""
+
+
+_CLEAN = f"""WITH RECURSIVE {INPUTS}, x AS (SELECT * REPLACE (coalesce(group_id, session_id) AS group_id) FROM i WHERE split IS NOT NULL), {_near('x')},
+d AS (SELECT input_id, split, group_id, text, component, split = 'test' AND source_dataset = 'synthetic-seed' AS seen FROM x JOIN dc USING (input_id)),
+e AS (SELECT *, max(seen) OVER (PARTITION BY input_id) AS s FROM d),
+f AS (SELECT input_id, split, component, CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN 'empty_text' WHEN length(text) > 100000 THEN 'judge_input_limit'
+        WHEN split = 'test' AND group_id IN (SELECT group_id FROM e WHERE s) THEN 'previously_reviewed_session'
+        WHEN split = 'test' AND component IN (SELECT component FROM e WHERE s) THEN 'duplicate_of_reviewed_message' END AS reason FROM e),
+r AS (SELECT *, CASE split WHEN 'test' THEN 2 WHEN 'calibration' THEN 1 ELSE 0 END AS rank FROM f),
+z AS (SELECT input_id, split, component, CASE WHEN reason IS NULL AND rank < max(rank) FILTER (reason IS NULL) OVER (PARTITION BY component) THEN 'duplicate_in_higher_priority_split' ELSE reason END AS reason FROM r)
+"""
+_GREEDY = f"""WITH RECURSIVE {_EX}, q AS (SELECT input_id, label, text, tenant_id || '/' || session_id AS session, row_number() OVER (ORDER BY label, sha256('[42,"tuning-v1","' || input_id || '"]'), input_id) AS rn
+        FROM i JOIN lab USING (input_id) WHERE text IS NOT NULL),
+w AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS ids, []::VARCHAR[] AS labels, []::VARCHAR[] AS texts, []::VARCHAR[] AS sessions
+      UNION ALL SELECT n, CASE WHEN ok THEN list_append(ids, input_id) ELSE ids END, CASE WHEN ok THEN list_append(labels, label) ELSE labels END, CASE WHEN ok THEN list_append(texts, text) ELSE texts END,
+        CASE WHEN ok THEN list_append(sessions, session) ELSE sessions END
+      FROM (SELECT w.ids, w.labels, w.texts, w.sessions, q.rn AS n, q.input_id, q.label, q.text, q.session,
+        NOT list_contains(w.texts, q.text) AND NOT list_contains(w.sessions, q.session) AND len(list_filter(w.labels, lambda x: x = q.label)) < 20 AS ok FROM w JOIN q ON q.rn = w.rn + 1))
+SELECT unnest(ids) AS input_id, unnest(labels) AS label FROM (SELECT * FROM w ORDER BY rn DESC LIMIT 1)"""
 _ORDER = "sha256('[42,\"{ns}\",\"' || {key} || '\"]')"
 ORACLE = {
     "split_assignment": f"WITH {_EX}, u AS (SELECT input_id, {_SPLIT} AS u FROM e) SELECT input_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'calibration' ELSE 'test' END AS assigned FROM u",
@@ -249,6 +293,11 @@ ORACLE = {
     "exact_duplicate_groups": f"WITH {INPUTS} SELECT sha256(text) AS text_hash, min(input_id) AS representative, count(*) AS n_rows FROM i WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "canonical_mapping": f"WITH {INPUTS} SELECT input_id, min(input_id) OVER (PARTITION BY tenant_id, history_available, text) AS canonical FROM i",
     "label_fanout": f"WITH {_EX}, c AS (SELECT input_id, min(input_id) OVER (PARTITION BY tenant_id, history_available, text) AS canonical FROM i) SELECT c.input_id, canonical, label FROM c JOIN lab ON lab.input_id = canonical",
-    "split_overlap_check": "SELECT NULL::VARCHAR AS component, NULL::BIGINT AS n_splits WHERE false",
+    "greedy_sample": _GREEDY,
+    "near_duplicate_links": f"WITH {INPUTS}, {_near('i')} SELECT * FROM li".replace("WITH", "WITH RECURSIVE", 1),
+    "duplicate_components": f"WITH RECURSIVE {INPUTS}, {_near('i')} SELECT * FROM dc",
+    "clean_splits": _CLEAN + "SELECT input_id, split, reason FROM z",
+    "exclusion_counts": _CLEAN + "SELECT split, reason, count(*) AS n FROM z GROUP BY ALL",
+    "split_overlap_check": _CLEAN + "SELECT component, count(DISTINCT split) AS n_splits FROM z WHERE reason IS NULL GROUP BY ALL HAVING n_splits > 1",
     "dataset_manifest": f"WITH {INPUTS} SELECT source_dataset, split, count(*) AS messages, count(DISTINCT (tenant_id, session_id)) AS sessions, count(DISTINCT text) AS texts FROM i GROUP BY ALL",
 }
