@@ -50,7 +50,9 @@ def near_duplicates(classes: DataFrame, key: str, min_chars: int = MIN_CHARS) ->
     """
     reps = classes.filter((F.col(key) == F.col("class")) & (F.length("folded") >= min_chars)).select(F.col(key).alias("id"), F.col("folded").alias("text"))
     reps, _ = materialize(reps, "reps")
-    pairs = similar_texts(reps, reps, REACH).filter("left_id < right_id")
+    pairs = similar_texts(reps, reps, REACH)
+    low, high = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
+    pairs = pairs.select(low.alias("left_id"), high.alias("right_id"), "similarity", "n_left", "n_right")
     both = F.col("similarity") / (1 + F.col("similarity")) * (F.col("n_left") + F.col("n_right"))
     cosine = both / F.sqrt(F.col("n_left") * F.col("n_right"))
     size = reps.select("id", F.length("text").alias("n"))
