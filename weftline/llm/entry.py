@@ -145,6 +145,29 @@ s AS (SELECT tenant_id, a, b FROM e UNION SELECT tenant_id, b, a FROM e UNION SE
 r AS (SELECT tenant_id, a AS session_id, b AS root FROM s UNION SELECT r.tenant_id, s.a, r.root FROM r JOIN s ON s.tenant_id = r.tenant_id AND s.b = r.session_id),
 c AS (SELECT tenant_id, session_id, min(root) AS component FROM r GROUP BY ALL)
 """
+# fixed values: what folding changes in these tables (full-width forms, blanks, numero and ordinal signs, sharp s)
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_NARROWED = f"replace(replace(lower(translate(text, '{_WIDE}' || chr(12288) || chr(160) || chr(8195), '{_NARROW}' || '   ')), chr(8470), 'no'), chr(186), 'o')"
+_OVERLAP = f"""WITH f AS (SELECT DISTINCT input_id, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS side, trim(regexp_replace(replace({_NARROWED}, chr(223), 'ss'), '\\s+', ' ', 'g')) AS folded
+        FROM feedback_inputs WHERE split IN ('train', 'calibration', 'test') AND input_id IS NOT NULL),
+t AS (SELECT folded, side, list_distinct([substr(folded, i, 5) for i in range(1, length(folded) - 3)]) AS grams FROM (SELECT DISTINCT folded, side FROM f WHERE length(folded) >= 40)),
+g AS (SELECT folded, side, len(grams) AS k, unnest(grams) AS g FROM t),
+c AS (SELECT a.folded AS train_text, b.folded AS eval_text, a.k AS x, b.k AS y, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.side = 'train' AND b.side = 'eval' GROUP BY ALL),
+p AS (SELECT DISTINCT a.input_id AS train_input, b.input_id AS eval_input, train_text = eval_text AS same FROM c JOIN f a ON a.folded = train_text AND a.side = 'train' JOIN f b ON b.folded = eval_text AND b.side = 'eval'
+      WHERE n / (x + y - n) >= 0.7 AND a.input_id <> b.input_id)
+"""
+_INFO = """, i AS (SELECT DISTINCT input_id, split, source_dataset FROM feedback_inputs WHERE split IS NOT NULL)
+SELECT e.split, e.source_dataset, t.source_dataset AS train_source_dataset, count(DISTINCT eval_input) AS n_eval, count(DISTINCT train_input) AS n_train, count(*) AS n_pairs, count(*) FILTER (same) AS n_exact
+FROM (SELECT train_input, eval_input, bool_or(same) AS same FROM p GROUP BY ALL) JOIN i e ON e.input_id = eval_input AND e.split <> 'train' JOIN i t ON t.input_id = train_input AND t.split = 'train' GROUP BY ALL"""
+_HIDDEN = "[\\x{AD}\\x{180E}\\x{200B}-\\x{200F}\\x{2060}-\\x{2064}\\x{FEFF}]"
+_LEAKS = f"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'i', item_id, text FROM eval_items),
+x AS (SELECT kind, id, regexp_extract_all({_NARROWED.replace('translate(text', f"translate(regexp_replace(text, '{_HIDDEN}', '', 'g')")}, '[\\p{{L}}\\p{{N}}]+') AS ws FROM w WHERE text IS NOT NULL),
+g AS (SELECT kind, id, unnest([array_to_string(ws[i : i + 11], ' ') for i in range(1, len(ws) - 10)]) AS gram, unnest(range(12, len(ws) + 1)) AS pos FROM x WHERE len(ws) >= 12),
+h AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.pos FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 'd' AND i.kind = 'i'),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS run FROM h),
+l AS (SELECT doc_id, item_id, max(n) + 11 AS longest_words FROM (SELECT doc_id, item_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
+"""
 _SAMPLE = """WITH f AS (SELECT input_id, row_number() OVER (ORDER BY min(ingested_ts), input_id) - 1 AS seq FROM feedback_inputs GROUP BY input_id),
 b AS (SELECT DISTINCT seq // 100 AS b FROM f),
 w AS (SELECT b, p, row_number() OVER (PARTITION BY b ORDER BY md5('sample-v1:' || b || ':' || p), p) AS rn FROM b, range(100) t(p))
@@ -153,6 +176,10 @@ SELECT input_id, seq FROM f JOIN w ON w.b = f.seq // 100 AND w.p = f.seq % 100 W
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _OVERLAP + "SELECT DISTINCT least(train_input, eval_input) AS input_id_a, greatest(train_input, eval_input) AS input_id_b FROM p",
+        "p3_report": _OVERLAP + _INFO,
+        "p8_found": _LEAKS + "SELECT doc_id, item_id FROM l",
+        "p8_report": _LEAKS + "SELECT item_id, count(*) AS n_docs, max(longest_words)::INT AS longest_words FROM l GROUP BY ALL",
         "p5_sample": _SAMPLE,
         "p6_found": _COMPONENTS
         + """, x AS (SELECT tenant_id, component FROM c JOIN feedback_inputs USING (tenant_id, session_id) WHERE split IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1)
