@@ -94,24 +94,18 @@ def in_order(h: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.lexsort((h, np.where(keys[i] == h, ranks[i], 0)))
 
 
-def prefixes(texts: DataFrame, order, similarity: float, with_grams: bool = False) -> DataFrame:
-    """(n, size, at, h[, gram]): one row for each prefix gram of (n, text); order is a broadcast gram_order()."""
+def prefixes(texts: DataFrame, order, similarity: float) -> DataFrame:
+    """(n, size, at, h): one row for each prefix gram of (n, text); order is a broadcast gram_order()."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for n, t in zip(f["n"], f["text"]):
-                h, first = hashes(t, True)
-                by = in_order(h, order.value)[: prefix_length(len(h), similarity)]
-                row = (n, len(h), h[by].view(np.int64))
-                out.append((*row, [t[i : i + GRAM] for i in first[by].tolist()]) if with_grams else row)
-            yield pd.DataFrame(out, columns=["n", "size", "h", *(["gram"] if with_grams else [])])
-
-    p = texts.select("n", "text").mapInPandas(run, "n long, size int, h array<long>" + (", gram array<string>" if with_grams else ""))
-    if not with_grams:
-        return p.select("n", "size", F.posexplode("h").alias("at", "h"))
-    x = p.select("n", "size", F.posexplode(F.arrays_zip("h", "gram")).alias("at", "x"))
-    return x.select("n", "size", "at", "x.h", "x.gram")
+                h = hashes(t)
+                out.append((n, len(h), h[in_order(h, order.value)[: prefix_length(len(h), similarity)]].view(np.int64)))
+            yield pd.DataFrame(out, columns=["n", "size", "h"])
+
+    return texts.select("n", "text").mapInPandas(run, "n long, size int, h array<long>").select("n", "size", F.posexplode("h").alias("at", "h"))
 
 
 def candidates(left: DataFrame, right: DataFrame, similarity: float, itself: bool = False) -> DataFrame:
