@@ -1,8 +1,8 @@
 """Problem 7: conversations from message rows, read as an event log.
 
 Every delivery of an event is a log entry; in order of arrival an entry is a create (first), a retry (same payload as one
-seen before) or an edit (another payload), and a cancelled last version deletes the turn's text from training use but not
-the turn. Folding by version gives one turn for each event, then the parent links order and validate the conversations.
+seen before) or an edit (another payload), and a cancelled last version is a delete: the turn stays as a link, its text
+goes. Folding by version gives one turn for each event, then the parent links order and validate the conversations.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.hierarchy import climb
 from weftline.operators.ranking import global_sequence
 from weftline.session import drop_path, materialize
 
@@ -90,19 +91,45 @@ def verdicts(events: DataFrame) -> DataFrame:
     return judge(turns)
 
 
+def threads(turns: DataFrame) -> DataFrame:
+    """(key, depth, thread, thread_sequence) of turns (key, parent_id, sequence) whose parents come before them.
+
+    The first reply to a turn (smallest sequence, then event_id) goes on in its thread, every other one begins a thread of
+    its own, named by its first event. Turns climb to their roots in doubling steps and stop looking at the nearest beginning.
+    """
+    s = ["__s0", "__s1"]
+    first = turns.filter("parent_id IS NOT NULL").groupBy(F.col("tenant_id").alias("__s0"), F.col("trace_id").alias("__s1"), F.col("parent_id").alias("__p")).agg(F.min(F.struct("sequence", "event_id")).alias("__f"))
+    e = turns.select(F.col("tenant_id").alias("__s0"), F.col("trace_id").alias("__s1"), F.col("event_id").alias("__n"), F.col("parent_id").alias("__p"), "sequence")
+    e = e.join(first, [*s, "__p"], "left").select(*s, "__n", "__p", F.struct("sequence", F.col("__n").alias("event")).alias("__own"), (F.col("__f.event_id") == F.col("__n")).alias("__on"))
+    e, _ = materialize(e, "threads")
+    zero = F.lit(0).cast("long")
+    done = e.filter("__p IS NULL").select(*s, "__n", F.col("__own").alias("__head"), zero.alias("__depth"))
+    pending = e.filter("__p IS NOT NULL").select(*s, "__n", F.col("__p").alias("__anc"), F.when(~F.col("__on"), F.col("__own")).alias("__head"), F.lit(1).cast("long").alias("__depth"))
+    blocks = climb(done, pending, s, {"__head": F.coalesce("__head", "u__head"), "__depth": F.col("__depth") + F.col("u__depth")})
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out.select(F.col("__s0").alias("tenant_id"), F.col("__s1").alias("trace_id"), F.col("__n").alias("event_id"), F.col("__depth").alias("depth"), F.col("__head.event").alias("thread"), F.col("__head.sequence").alias("thread_sequence"))
+
+
 def conversations(events: DataFrame) -> DataFrame:
-    """Turns of the surviving conversations: key, turn_no (from 1), depth, branch_id, sequence, role, text, deleted, n_versions.
+    """Turns of the surviving conversations: key, turn_no (from 1), thread, depth, parent_id, branch_id, sequence, role, text, deleted, n_versions.
 
-    Order inside a conversation: sequence, branch_id, event_id; a parent always precedes its children because its sequence
-    is smaller. Ranks come from a global range sort, so one huge trace is spread over many tasks.
+    Threads follow each other by the place of their first event, turns inside a thread by sequence; a parent always precedes
+    its replies because its sequence is smaller. The text of a deleted turn is null. Ranks come from a global range sort,
+    so one huge trace is spread over many tasks.
     """
     turns, _ = materialize(fold_log(events).withColumn("said", has_text("text")), "turns")
     good = judge(turns).filter("NOT broken AND NOT empty AND NOT unanswered").select(*TRACE)
-    kept = turns.join(good, list(TRACE), "left_semi")
+    kept, _ = materialize(turns.join(good, list(TRACE), "left_semi"), "kept")
+    deleted = F.coalesce(F.col("status") == "cancelled", F.lit(False))
+    placed = kept.join(threads(kept.select(*KEY, "parent_id", "sequence")), list(KEY))
     ranked = global_sequence(
-        kept.select(*KEY, "parent_id", "branch_id", "sequence", "role", "text", (F.col("status") == "cancelled").alias("deleted"), "n_versions"),
-        [*TRACE, "sequence", "branch_id", "event_id"],
+        placed.select(*KEY, "thread_sequence", "thread", "depth", "parent_id", "branch_id", "sequence", "role", F.when(~deleted, F.col("text")).alias("text"), deleted.alias("deleted"), "n_versions"),
+        [*TRACE, "thread_sequence", "thread", "sequence", "event_id"],
         "__seq",
     )
     first = ranked.groupBy(*TRACE).agg(F.min("__seq").alias("__base"))
-    return ranked.join(first, list(TRACE)).select(*KEY, (F.col("__seq") - F.col("__base") + 1).alias("turn_no"), "parent_id", "branch_id", "sequence", "role", "text", "deleted", "n_versions")
+    return ranked.join(first, list(TRACE)).select(
+        *KEY, (F.col("__seq") - F.col("__base") + 1).alias("turn_no"), "thread", "depth", "parent_id", "branch_id", "sequence", "role", "text", "deleted", "n_versions"
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import conversations as conv
 from weftline.llm import languages, leaks, mixing, overlap, pieces, pii, sampling, splits
-from weftline.session import table
+from weftline.session import materialize, table
 
 
 EVENT = ["tenant_id", "trace_id", "event_id"]
@@ -70,6 +70,12 @@ def p6_splits(spark, d):
     return splits.grouped_splits(table(spark, d, "feedback_inputs"), table(spark, d, "split_targets")).select("input_id", "component", "assigned_split")
 
 
+def p6_components(spark, d):
+    """The component of every session, named by its smallest session."""
+    c, _ = materialize(splits.session_components(table(spark, d, "feedback_inputs")), "components")
+    return c.join(c.groupBy("component").agg(F.min("session_id").alias("first_session")), "component").select("tenant_id", "session_id", "first_session")
+
+
 def p6_shares(spark, d):
     t = table(spark, d, "split_targets")
     return splits.share_report(splits.grouped_splits(table(spark, d, "feedback_inputs"), t), t)
@@ -119,7 +125,7 @@ def p10_pieces(spark, d):
     return pieces.split_oversized(table(spark, d, "documents"), table(spark, d, "size_limits"))
 
 
-_ALL = (p2_found, p2_languages, p2_segments, p4_found, p4_redacted, p4_terms, p3_found, p3_report, p5_sample, p6_found, p6_splits, p6_shares, p7_found, p7_verdicts, p7_conversations, p8_found, p8_report, p8_clean, p9_mix, p9_shares, p10_found, p10_pieces)
+_ALL = (p2_found, p2_languages, p2_segments, p4_found, p4_redacted, p4_terms, p3_found, p3_report, p5_sample, p6_found, p6_components, p6_splits, p6_shares, p7_found, p7_verdicts, p7_conversations, p8_found, p8_report, p8_clean, p9_mix, p9_shares, p10_found, p10_pieces)
 
 
 def queries() -> dict:
@@ -138,6 +144,13 @@ v AS (SELECT tenant_id, trace_id, bool_or(versions > 1 OR (parent_id IS NOT NULL
         NOT bool_or(said AND role IN ('user', 'assistant')) AS empty,
         NOT broken AND bool_or(said AND role = 'user' AND (tenant_id, trace_id, event_id) NOT IN (SELECT (tenant_id, trace_id, event_id) FROM u)) AS unanswered FROM j GROUP BY ALL)
 """
+_TURNS = """, q AS (SELECT DISTINCT tenant_id, trace_id, event_id, parent_id, branch_id, sequence, role, text, status FROM k JOIN v USING (tenant_id, trace_id) WHERE NOT broken AND NOT empty AND NOT unanswered),
+o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, trace_id, parent_id ORDER BY sequence, event_id) AS child FROM q),
+w AS (SELECT tenant_id, trace_id, event_id, event_id AS thread, sequence AS since, 0::BIGINT AS depth FROM o WHERE parent_id IS NULL
+      UNION ALL SELECT o.tenant_id, o.trace_id, o.event_id, CASE WHEN child = 1 THEN w.thread ELSE o.event_id END, CASE WHEN child = 1 THEN w.since ELSE o.sequence END, w.depth + 1
+      FROM w JOIN o ON o.tenant_id = w.tenant_id AND o.trace_id = w.trace_id AND o.parent_id = w.event_id)
+SELECT tenant_id, trace_id, event_id, row_number() OVER (PARTITION BY tenant_id, trace_id ORDER BY since, thread, sequence, event_id) AS turn_no, thread, depth, parent_id, branch_id, sequence, role,
+    CASE WHEN status IS DISTINCT FROM 'cancelled' THEN text END AS text, coalesce(status = 'cancelled', false) AS deleted, 1::BIGINT AS n_versions FROM o JOIN w USING (tenant_id, trace_id, event_id)"""
 _COMPONENTS = """WITH RECURSIVE l AS (SELECT DISTINCT tenant_id, session_id, group_id FROM feedback_inputs),
 g AS (SELECT tenant_id, group_id, min(session_id) AS hub FROM l WHERE group_id IS NOT NULL GROUP BY ALL),
 e AS (SELECT l.tenant_id, l.session_id AS a, g.hub AS b FROM l JOIN g USING (tenant_id, group_id)),
@@ -184,6 +197,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _COMPONENTS
         + """, x AS (SELECT tenant_id, component FROM c JOIN feedback_inputs USING (tenant_id, session_id) WHERE split IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1)
         SELECT tenant_id, session_id FROM c JOIN x USING (tenant_id, component)""",
+        "p6_components": _COMPONENTS + "SELECT tenant_id, session_id, component AS first_session FROM c",
         "p7_found": _VERDICTS + "SELECT tenant_id, trace_id FROM v WHERE broken OR empty OR unanswered",
         "p7_verdicts": _VERDICTS + "SELECT * FROM v",
+        "p7_conversations": _VERDICTS.rstrip() + _TURNS,
     }

@@ -1,8 +1,9 @@
 """Problem 9: mixing sources to target weights.
 
 Every document has a hash; the documents of a source below a hash threshold are its partial copy. The threshold for a
-token budget comes from a histogram: tokens by source and hash bucket, a running sum over the few buckets, and a second
-histogram that refines only the boundary bucket. Nothing is sorted, and thresholds for smaller budgets are nested.
+token budget comes from a histogram: tokens by source and hash bucket, a running sum over the few buckets, and further
+histograms that refine only the boundary bucket. Nothing is sorted. A document that overshoots the budget is stepped over:
+a further threshold follows behind it for what is left, among documents that fit, until the rest is negligible.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from weftline.session import materialize
 
 BUCKET_BITS = 12
 LEVELS = 3  # 3 * 12 of the 52 hash bits: a boundary cell holds a document in 2**36 of the source
+STEPS = 8  # thresholds of a source at most
+REST = 0.001  # share of a budget that may stay unspent without a further threshold
 
 
 def _hash(key: str, seed: str) -> Column:
@@ -25,55 +28,76 @@ def _hash(key: str, seed: str) -> Column:
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, own_tokens, reachable_share, budget): what each listed source shall give.
 
-    Sources without tokens can give nothing; the others share the total in proportion to their targets. Without
-    total_tokens the total is the largest at which no source needs more than max_repeats copies of its documents, so
-    every reachable share is met. With a given total the budget stops at the cap. Repeated target rows of a source: shares
-    add up, the smallest cap holds; rows with a null source, a null or non-positive share or a cap below 1 give nothing.
+    Without total_tokens the total is the size of the listed sources' documents. A source whose share of it needs more than
+    max_repeats copies of its documents gives all of these, and what it can't give is spread over the others in proportion
+    to their targets; sources without tokens give nothing. reachable_share is the share that comes of that. The total is
+    missed only where all sources are at their caps. Repeated target rows of a source: shares add up, the smallest cap
+    holds; rows with a null source, a null or non-positive share or a cap below 1 give nothing.
     """
     t = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     own = sizes.groupBy("source").agg(F.sum("tokens").alias("own_tokens"))
-    j = t.join(own, "source", "left").withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0)))
-    able = (F.col("own_tokens") > 0) & (F.col("max_repeats") > 0)
-    share = F.when(able, F.col("target_share")).otherwise(0.0)
-    whole = j.agg(F.sum(share).alias("__s"))
-    j = j.crossJoin(F.broadcast(whole)).withColumn("reachable_share", F.coalesce(F.try_divide(share, F.col("__s")), F.lit(0.0))).drop("__s")  # one row
-    most = F.col("own_tokens") * F.col("max_repeats")
-    if total_tokens is None:
-        top = j.agg(F.min(F.when(F.col("reachable_share") > 0, most / F.col("reachable_share"))).alias("__t"))
-        j = j.crossJoin(F.broadcast(top))  # one row
-    else:
-        j = j.withColumn("__t", F.lit(float(total_tokens)))
-    return j.withColumn("budget", F.least(most, F.floor(F.coalesce("__t", F.lit(0.0)) * F.col("reachable_share") + 1e-6))).drop("__t")
+    rows = [r.asDict() for r in t.join(own, "source", "left").fillna(0, ["own_tokens"]).orderBy("source").collect()]  # one row for each target
+    whole = sum(r["own_tokens"] for r in rows) if total_tokens is None else total_tokens
+    most = {r["source"]: r["own_tokens"] * max(0, r["max_repeats"]) for r in rows}
+    budget = {r["source"]: 0.0 for r in rows}
+    open_ = {r["source"]: r["target_share"] for r in rows if most[r["source"]]}
+    left = float(whole)
+    while open_ and left > 0:
+        unit = left / sum(open_.values())
+        full = [k for k, share in open_.items() if share * unit >= most[k]]
+        for k in full or list(open_):
+            budget[k] = min(float(most[k]), open_.pop(k) * unit)
+            left -= budget[k]
+    given = sum(budget.values())
+    out = [(r["source"], r["target_share"], r["max_repeats"], r["own_tokens"], budget[r["source"]] / given if given else 0.0, int(budget[r["source"]] + 1e-6)) for r in rows]
+    return sizes.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats int, own_tokens long, reachable_share double, budget long")
 
 
 def thresholds(sizes: DataFrame, part: DataFrame) -> DataFrame:
-    """(source, threshold): documents with hash < threshold have at most `rest` tokens in all, and one more hash cell would exceed it.
+    """(source, edge, beyond, rest): from `start` on, the documents of at most `rest` tokens with a hash below edge have at most `rest` in all.
 
-    part: (source, rest). Each level sums tokens by source and hash cell inside the current boundary cell only.
+    The hash cell from edge to beyond would exceed it; the new rest is what they leave. part: (source, rest, start). Each
+    level sums tokens by source and hash cell inside the current boundary cell only.
     """
-    now = part.select("source", "rest", F.lit(0).cast("long").alias("lo"))
+    now = part.select("source", "rest", F.col("rest").alias("limit"), "start", F.lit(0).cast("long").alias("lo"), F.lit(False).alias("all"))
     for level in range(LEVELS):
         width = 52 - BUCKET_BITS * (level + 1)
-        cell = F.shiftright("h", width)
-        # a document is inside the boundary cell of the level before if their leading bits agree
-        inside = F.shiftright("h", width + BUCKET_BITS) == F.shiftright("lo", width + BUCKET_BITS)
-        j = sizes.join(F.broadcast(now), "source")  # one row for each source of the target table
-        if level:
-            j = j.filter(inside)
-        hist = j.groupBy("source", cell.alias("cell")).agg(F.sum("tokens").alias("n"))
+        j = sizes.join(F.broadcast(now), "source").filter("h >= start AND tokens <= limit AND NOT all")  # one row for each source of the target table
+        if level:  # a document is inside the boundary cell of the level before if their leading bits agree
+            j = j.filter(F.shiftright("h", width + BUCKET_BITS) == F.shiftright("lo", width + BUCKET_BITS))
+        hist = j.groupBy("source", F.shiftright("h", width).alias("cell")).agg(F.sum("tokens").alias("n"))
         w = Window.partitionBy("source").orderBy("cell")  # at most 2**BUCKET_BITS rows a source
         run = hist.join(F.broadcast(now), "source").withColumn("upto", F.sum("n").over(w))
         fit = run.groupBy("source").agg(
             F.min(F.when(F.col("upto") > F.col("rest"), F.col("cell"))).alias("edge"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("used")
         )
+        # no boundary cell: everything fits, which only happens at the first level
         now = now.join(fit, "source", "left").select(
-            "source",
-            (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"),
-            # no boundary cell: everything inside fits, which only happens at the first level
-            F.when(F.col("edge").isNotNull(), F.shiftleft("edge", width)).otherwise(F.when(F.lit(level == 0), F.lit(1 << 52)).otherwise(F.col("lo"))).alias("lo"),
-        )
+            "source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), "limit", "start",
+            F.when(F.col("edge").isNotNull(), F.shiftleft("edge", width)).otherwise(F.col("lo")).alias("lo"), (F.col("all") | F.col("edge").isNull()).alias("all"),
+        )
         now = now.sparkSession.createDataFrame(now.collect(), now.schema)  # one row for each source of the target table
-    return now.select("source", F.col("lo").alias("threshold"))
+    top = F.lit(1 << 52)
+    end = F.col("lo") + F.lit(1 << (52 - BUCKET_BITS * LEVELS))
+    return now.select("source", F.when(F.col("all"), top).otherwise(F.greatest("lo", "start")).alias("edge"), F.when(F.col("all"), top).otherwise(end).alias("beyond"), "rest")
+
+
+def spans(sizes: DataFrame, part: DataFrame) -> DataFrame:
+    """(source, start, edge, limit): hash ranges whose documents of at most `limit` tokens make up the budget `rest` of part (source, rest).
+
+    What a source leaves unspent is below REST of the budget, or no document behind the last threshold fits it.
+    """
+    spark = sizes.sparkSession
+    goal = {r["source"]: r["rest"] for r in part.filter("rest > 0").collect()}  # one row for each source of the target table
+    now, out = [(k, v, 0) for k, v in goal.items()], []
+    for _ in range(STEPS):
+        if not now:
+            break
+        found = thresholds(sizes, spark.createDataFrame(now, "source string, rest long, start long")).collect()
+        begin = {k: (rest, start) for k, rest, start in now}
+        out += [(r["source"], begin[r["source"]][1], r["edge"], begin[r["source"]][0]) for r in found]
+        now = [(r["source"], r["rest"], r["beyond"]) for r in found if r["beyond"] < 1 << 52 and r["rest"] > REST * goal[r["source"]]]
+    return spark.createDataFrame(out, "source string, start long, edge long, limit long")
 
 
 def sized(docs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: str = "mix-v1") -> DataFrame:
@@ -85,13 +109,14 @@ def sized(docs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabul
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(doc_id, source, tokens, repeats): each document's whole copies plus one if its hash is below its source's threshold; documents with 0 repeats are left out."""
+    """(doc_id, source, tokens, repeats): each document's whole copies plus one if it lies in one of its source's hash ranges; documents with 0 repeats are left out."""
     p = plan(sizes, targets, total_tokens).filter("budget > 0")
     p = p.withColumn("whole", F.expr("CAST(budget div own_tokens AS INT)")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("own_tokens"))
-    p = sizes.sparkSession.createDataFrame(p.select("source", "whole", F.col("rest").cast("long").alias("rest"), "max_repeats").collect(), "source string, whole int, rest long, max_repeats int")
-    cut = p.select("source", "whole", "max_repeats").join(thresholds(sizes, p.select("source", "rest")), "source")
-    out = sizes.join(F.broadcast(cut), "source")  # one row for each source of the target table
-    return out.select("doc_id", "source", "tokens", F.least("max_repeats", F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).alias("repeats")).filter("repeats > 0")
+    cut = spans(sizes, p.select("source", "rest")).groupBy("source").agg(F.collect_list(F.struct("start", "edge", "limit")).alias("spans"))  # at most STEPS
+    own = p.select("source", "whole", "max_repeats").join(cut, "source", "left")
+    out = sizes.join(F.broadcast(own), "source")  # one row for each source of the target table
+    part = F.coalesce(F.exists("spans", lambda x: (F.col("h") >= x.start) & (F.col("h") < x.edge) & (F.col("tokens") <= x.limit)), F.lit(False))
+    return out.select("doc_id", "source", "tokens", F.least("max_repeats", F.col("whole") + part.cast("int")).alias("repeats")).filter("repeats > 0")
 
 
 def share_report(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import PATTERN, TOKENIZERS, VOCABULARY, encoding, over_limit
@@ -72,6 +72,17 @@ def pattern(limit: str = "%1$d", floor: str = "%2$d") -> str:
     return "|".join([f".{{1,{limit}}}$", *parts, f".{{1,{limit}}}(?<=[PLSCW])", f".{{1,{limit}}}(?<!x)", f".{{1,{limit}}}"])
 
 
+def running(sizes: Column, width: int = 256) -> Column:
+    """0 and the running sums of an array. An array is copied whenever it grows, so sums run inside stretches of `width` first."""
+    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    count = F.size(sizes)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / width).cast("int")), lambda b: F.slice(sizes, b * width + 1, width))
+    inner = F.transform(parts, lambda p: F.aggregate(p, F.array(F.lit(0)), step))
+    base = F.aggregate(inner, F.array(F.lit(0)), lambda acc, p: step(acc, F.element_at(p, -1)))
+    moved = F.transform(inner, lambda p, i: F.transform(F.slice(p, 2, width), lambda x: x + F.get(base, i)))
+    return F.concat(F.array(F.lit(0)), F.flatten(moved))
+
+
 def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces (key, piece_no, n_pieces, n_tokens, overlap_tokens, start_char, end_char, piece) of documents above their source's limit.
 
@@ -86,9 +97,11 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", fol
     def shadows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [shadow(t, folder, vocabulary) for t in f["text"]]
-            yield f.assign(letters=[m[0] for m in made], ends=[m[1] for m in made])
+            cut = [[t[a:b] for a, b in zip([0, *m[1]], m[1])] for t, m in zip(f["text"], made)]
+            yield f.assign(tokens=cut, letters=[m[0] for m in made], ends=[m[1] for m in made]).drop(columns="text")
 
-    schema = f"{key} {dict(docs.dtypes)[key]}, text string, max_tokens int, overlap int, letters string, ends array<int>"
+    # the characters that each token completes: a piece is a slice of them, whereas a substring would walk the text from its start
+    schema = f"{key} {dict(docs.dtypes)[key]}, max_tokens int, overlap int, tokens array<string>, letters string, ends array<int>"
     s = big.repartition(key).mapInPandas(shadows, schema)
     fresh = F.col("max_tokens") - F.col("overlap")
     first = F.format_string(pattern("%1$d", "%2$d"), "max_tokens", F.greatest(F.lit(1), F.expr("max_tokens div 2")))
@@ -97,8 +110,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", fol
     s = s.withColumn("head", F.expr("regexp_extract(letters, first, 0)"))
     s = s.withColumn("tail", F.expr("regexp_extract_all(substring(letters, length(head) + 1), later, 0)"))
     sizes = F.concat(F.array(F.length("head")), F.transform("tail", F.length))
-    s = s.withColumn("cuts", F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))))
-    piece = s.select(key, "text", "letters", "ends", "overlap", (F.size("cuts") - 1).alias("n_pieces"), F.posexplode(F.slice("cuts", 2, F.size("cuts"))).alias("__i", "__to"), "cuts")
+    s = s.withColumn("cuts", running(sizes))
+    piece = s.select(key, "tokens", "letters", "ends", "overlap", (F.size("cuts") - 1).alias("n_pieces"), F.posexplode(F.slice("cuts", 2, F.size("cuts"))).alias("__i", "__to"), "cuts")
     begin = piece.withColumn("__new", F.col("cuts")[F.col("__i")])
     back = F.greatest(F.lit(0), F.when(F.col("__i") == 0, 0).otherwise(F.col("__new") - F.col("overlap")))
     begin = begin.withColumn("__back", back)
@@ -109,7 +122,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", fol
     out = begin.withColumns({"start_char": at("__from"), "end_char": at("__to")})
     return out.select(
         key, (F.col("__i") + 1).alias("piece_no"), "n_pieces", (F.col("__to") - F.col("__from")).alias("n_tokens"), (F.col("__new") - F.col("__from")).alias("overlap_tokens"),
-        "start_char", "end_char", F.expr("substring(text, start_char + 1, end_char - start_char)").alias("piece"),
+        "start_char", "end_char", F.array_join(F.slice("tokens", F.col("__from") + 1, F.col("__to") - F.col("__from")), "").alias("piece"),
     )
 
 

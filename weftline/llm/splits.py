@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
+from weftline.operators.ranking import global_sequence
 from weftline.session import materialize
 
-CELLS = 4096  # light components are hashed into so many cells; heavy ones (above total / CELLS) are at most CELLS
 BINS = 200
 
 
@@ -43,49 +43,64 @@ def crossing_sessions(df: DataFrame) -> DataFrame:
     return comp.join(many.select("component"), "component", "left_semi").select("tenant_id", "session_id")
 
 
-def differencing(weights: list[tuple[int, str]], bins: int) -> list[tuple[str, ...]]:
-    """Largest differencing into `bins` parts: the two partial solutions with the largest spread are merged, the heavy parts of one with the light parts of the other."""
-    heap = []
-    for i, (w, key) in enumerate(sorted(weights, key=lambda x: (-x[0], x[1]))):
-        sums = np.zeros(bins, dtype=np.int64)
-        sums[0] = w
-        heap.append((-w, i, sums, [(key,), *[()] * (bins - 1)]))
-    if not heap:
-        return [()] * bins
+def differencing(weights: dict[int, int], bins: int) -> list[dict[int, int]]:
+    """Largest differencing into `bins` parts: the two partial solutions with the largest spread are merged, the heavy parts of one with the light parts of the other.
+
+    weights: how many items there are of each weight; a part says how many of each it gets. Items of one weight fill all
+    bins evenly first, which leaves no spread; of the fewer than `bins` that remain each gets a bin of its own, which is what
+    merging them one by one comes to. So there is one partial solution for each distinct weight.
+    """
+    even = {w: n // bins for w, n in weights.items()}
+    heap: list = []
+    for i, w in enumerate(sorted(weights, reverse=True)):
+        n = weights[w] % bins
+        if n and w:
+            sums = np.zeros(bins, dtype=np.int64)
+            sums[:n] = w
+            heap.append((-w, i, sums, [((w, 1),)] * n + [()] * (bins - n)))
     heapq.heapify(heap)
-    n = len(heap)
+    tick = len(weights)
     while len(heap) > 1:
         _, _, s1, p1 = heapq.heappop(heap)
         _, _, s2, p2 = heapq.heappop(heap)
         sums = s1 + s2[::-1]
-        parts = [a + b for a, b in zip(p1, p2[::-1])]
+        parts = [x + y for x, y in zip(p1, p2[::-1])]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order] - sums[order[-1]]  # only differences matter
-        heapq.heappush(heap, (-int(sums[0]), n, sums, [parts[i] for i in order]))
-        n += 1
-    return heap[0][3]
+        heapq.heappush(heap, (-int(sums[0]), tick, sums, [parts[i] for i in order]))
+        tick += 1
+    rest = heap[0][3] if heap else [()] * bins
+    out = []
+    for part in rest:
+        own = {w: n for w, n in even.items() if n}
+        for w, n in part:
+            own[w] = own.get(w, 0) + n
+        out.append(own)
+    return out
 
 
-def allocate(weights: list[tuple[int, str]], shares: Mapping[str, float], bins: int = BINS) -> dict[str, str]:
-    """Item to split: whole bins, heaviest first, go to the split furthest below its target (ties by name)."""
-    weight = {k: w for w, k in weights}
-    parts = differencing(weights, bins)
-    total, norm = sum(weight.values()), sum(shares.values())
+def allocate(weights: dict[int, int], shares: Mapping[str, float], bins: int = BINS) -> dict[str, dict[int, int]]:
+    """Split to how many items of each weight: whole bins, heaviest first, go to the split furthest below its target (ties by name)."""
+    total, norm = sum(w * n for w, n in weights.items()), sum(shares.values())
     left = {s: total * x / norm for s, x in shares.items()}
-    out: dict[str, str] = {}
-    for part in sorted(parts, key=lambda p: (-sum(weight[k] for k in p), min(p, default=""))):
+    out: dict[str, dict[int, int]] = {s: {} for s in shares}
+    size = lambda p: sum(w * n for w, n in p.items())
+    for part in sorted(differencing(weights, bins), key=lambda p: (-size(p), sorted(p.items()))):
         split = max(sorted(left), key=lambda s: left[s])
-        left[split] -= sum(weight[k] for k in part)
-        out |= dict.fromkeys(part, split)
+        left[split] -= size(part)
+        for w, n in part.items():
+            out[split][w] = out[split].get(w, 0) + n
     return out
 
 
-def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "input_id", cells: int = CELLS, bins: int = BINS) -> DataFrame:
+def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "input_id", bins: int = BINS) -> DataFrame:
     """(input_id, tenant_id, session_id, component, assigned_split), one row for each id.
 
-    An id that comes in several sessions joins them. Rows with a null id are ignored. The driver sees at most 2 * cells
-    weights: components above total / cells one by one, all others summed in hash cells.
+    An id that comes in several sessions joins them. Rows with a null id are ignored. All components are balanced one by
+    one, but those of one weight are alike: the driver sees only how many components there are of each weight, at most
+    sqrt(2 * records) numbers, and says how many of each weight a split gets. Which ones is decided by their hash.
     """
+    spark = df.sparkSession
     df = df.filter(F.col(id_col).isNotNull())
     comp, _ = materialize(session_components(df), "components")
     eq = lambda a, b: a["tenant_id"].eqNullSafe(b["tenant_id"]) & a["session_id"].eqNullSafe(b["session_id"])
@@ -98,16 +113,18 @@ def grouped_splits(df: DataFrame, targets: DataFrame, id_col: str = "input_id",
     rows = one.select(id_col, "x.tenant_id", "x.session_id", "x.component")
     if merged is not None:
         rows = rows.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
-    sizes = rows.groupBy("component").agg(F.count("*").alias("w"))
-    total = sizes.agg(F.sum("w")).first()[0] or 0
-    item = F.when(F.col("w") > total / cells, F.concat(F.lit("c"), F.col("component"))).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64("component"), F.lit(cells))))
-    sizes, _ = materialize(sizes.select("component", "w", item.alias("item")), "sizes")
-    weights = [(r["w"], r["item"]) for r in sizes.groupBy("item").agg(F.sum("w").alias("w")).collect()]
+    sizes, _ = materialize(rows.groupBy("component").agg(F.count("*").alias("w")), "sizes")
+    weights = {r["w"]: r["n"] for r in sizes.groupBy("w").agg(F.count("*").alias("n")).collect()}
     shares = {r["split"]: r["share"] for r in targets.filter("split IS NOT NULL AND share > 0").groupBy("split").agg(F.sum("share").alias("share")).collect()}
-    plan = allocate(weights, shares, bins)
-    spark = df.sparkSession
-    given = spark.createDataFrame(sorted(plan.items()), "item string, assigned_split string")
-    names = sizes.join(F.broadcast(given), "item").select("component", "assigned_split")  # at most 2 * cells rows
+    ranges, taken = [], dict.fromkeys(weights, 0)
+    for split, own in sorted(allocate(weights, shares, bins).items()):
+        for w, n in own.items():
+            ranges.append((w, split, taken[w], taken[w] + n))
+            taken[w] += n
+    ranked = global_sequence(sizes.withColumn("h", F.xxhash64("component")), ["w", "h", "component"])
+    before = dict(zip(sorted(weights), [0, *np.cumsum([weights[w] for w in sorted(weights)]).tolist()]))
+    given = spark.createDataFrame([(w, s, before[w] + a, before[w] + b) for w, s, a, b in ranges], "w long, assigned_split string, __a long, __b long")
+    names = ranked.join(F.broadcast(given), "w").filter("seq >= __a AND seq < __b").select("component", "assigned_split")  # a row for each distinct weight and split
     return rows.join(names, "component").select(id_col, "tenant_id", "session_id", "component", "assigned_split")
 
 
