@@ -110,7 +110,8 @@ _built: dict[str, Automaton] = {}
 
 def _automaton(mark: str, items: list[tuple[int, str]], min_words: int) -> Automaton:
     if mark not in _built:
-        _built.clear()  # one automaton in a worker's memory at a time
+        while len(_built) > 1:  # two automata in a worker's memory at a time
+            del _built[next(iter(_built))]
         _built[mark] = Automaton([(i, words(t)) for i, t in items], min_words)
     return _built[mark]
 
@@ -169,36 +170,61 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, shard_w
 def clean(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_cover: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, action, removed_words, text): kept as it is, spans_removed, or dropped (text null) if matches cover more than max_cover of the words.
 
-    Spans go by whole blank-separated chunks; the remaining text keeps its own white space. Null texts are kept.
+    Spans go by whole blank-separated chunks; the remaining text keeps its own white space. Null texts are kept. Every shard
+    of items scans all documents in a pass of its own and reports spans; the spans of all shards meet at the document.
     """
     spark = docs.sparkSession
-    marks = [(spark.sparkContext.broadcast(s), uuid.uuid4().hex) for s in _shards(items, shard_words)]
+    base = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("h"), "text")
+    spans = None
+    for shard in _shards(items, shard_words):
+        held, mark = spark.sparkContext.broadcast(shard), uuid.uuid4().hex
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(frames: Iterator[pd.DataFrame], held=held, mark=mark) -> Iterator[pd.DataFrame]:
+            a = _automaton(mark, held.value, min_words)
+            for f in frames:
+                rows = []
+                for h, text in zip(f["h"], f["text"]):
+                    first = last = -1
+                    for i, n, _ in a.scan(words(text)):
+                        if first >= 0 and i - n + 1 <= last + 1:
+                            first, last = min(first, i - n + 1), i
+                            continue
+                        if first >= 0:
+                            rows.append((h, text, first, last))
+                        first, last = i - n + 1, i
+                    if first >= 0:
+                        rows.append((h, text, first, last))
+                yield pd.DataFrame(rows, columns=["h", "text", "first", "last"])
+
+        part = base.mapInPandas(scan, "h long, text string, first int, last int")
+        spans = part if spans is None else spans.unionByName(part)
+    if spans is None:
+        spans = spark.createDataFrame([], "h long, text string, first int, last int")
+    found = spans.groupBy("h", "text").agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # spans of one text
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = list(f["text"])
-            hit = [bytearray(len(words(t))) if t is not None else bytearray() for t in texts]
-            for held, mark in marks:
-                a = _automaton(mark, held.value, min_words)
-                for h, t in zip(hit, texts):
-                    if h:
-                        for i, n, _ in a.scan(words(t)):
-                            h[i - n + 1 : i + 1] = b"\1" * n
             rows = []
-            for doc, t, h in zip(f["doc_id"], texts, hit):
-                n = sum(h)
-                if not n:
+            for doc, t, own in zip(f["doc_id"], f["text"], f["spans"]):
+                if own is None or not len(own):
                     rows.append((doc, "kept", 0, t))
-                elif n > max_cover * len(h):
+                    continue
+                hit = bytearray(len(words(t)))
+                for s in own:
+                    hit[s["first"] : s["last"] + 1] = b"\1" * (s["last"] + 1 - s["first"])
+                n = sum(hit)
+                if n > max_cover * len(hit):
                     rows.append((doc, "dropped", n, None))
-                else:
-                    out, at = [], 0
-                    for chunk in re.split(r"(\s+)", t):
-                        k = len(words(chunk))
-                        if not (k and any(h[at : at + k])):
-                            out.append(chunk)
-                        at += k
-                    rows.append((doc, "spans_removed", n, "".join(out)))
+                    continue
+                out, at = [], 0
+                for chunk in re.split(r"(\s+)", t):
+                    k = len(words(chunk))
+                    if not (k and any(hit[at : at + k])):
+                        out.append(chunk)
+                    at += k
+                rows.append((doc, "spans_removed", n, "".join(out)))
             yield pd.DataFrame(rows, columns=["doc_id", "action", "removed_words", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, action string, removed_words int, text string")
+    own = found.withColumnsRenamed({"h": "__h", "text": "__t"})
+    d = docs.select("doc_id", "text").join(own, (F.xxhash64("text") == F.col("__h")) & (F.col("text") == F.col("__t")), "left").select("doc_id", "text", "spans")
+    return d.mapInPandas(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, action string, removed_words int, text string")
