@@ -50,7 +50,30 @@ def test_wrong_labels(spark, model):
     assert languages.identify(df.limit(0), ["k"], ("ru", "en", "de")).count() == 0
 
 
+def test_languages_come_from_labels_and_others_are_rejected(spark, model):
+    others = ["Ten pociąg odjeżdża z peronu drugiego o godzinie ósmej rano i wraca wieczorem.", "Il gatto è andato a casa della nonna per mangiare la torta di mele con gli amici."]
+    assert [f["language"] for f in languages.infer(others, model)] == [None, None]
+    wide = SENTENCES["en"][0].translate({c: c + 0xFEE0 for c in range(0x21, 0x7F)})
+    assert languages.infer([wide], model)[0]["language"] == "en"
+    rows = [(i, x, " ".join(SENTENCES[x[:2].lower()])) for i, x in enumerate(["en-GB", "DE", "ru"] * 40)] + [(900, "und", "?"), (901, "mixed", "?"), (902, None, "ok"), (903, "en", "")]
+    df = spark.createDataFrame(rows, "k int, language string, text string")
+    assert languages.labelled_languages(df) == ("de", "en", "ru") and languages.labelled_languages(df.limit(0)) == ()
+    got = {r["k"]: r for r in languages.identify(df, ["k"]).collect()}
+    assert len(got) == len(rows) and got[0]["found"] == "en" and got[900]["found"] is None and got[902]["confidence"] < 0.6
+    assert {r["found"] for r in languages.identify(df.filter("k >= 900"), ["k"], ()).collect()} == {None}
+
+
 # 3: overlap
+def test_overlaps_in_many_shards(spark):
+    rng = random.Random(33)
+    words = ["planner", "report", "heading", "merged", "skipped", "budget", "token", "session"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(7, 30))) for _ in range(80)]
+    rows = [(f"{k}{i}", k, t if k == "train" else t[: len(t) - rng.randrange(9)] + "!") for k in ("train", "eval") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "tid string, side string, text string")
+    whole = {tuple(r) for r in overlap.class_pairs(df).collect()}
+    assert whole == {tuple(r) for r in overlap.class_pairs(df, shard=7, block=5).collect()} and len(whole) >= 70
+
+
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(3)
     words = ["planner", "report", "heading", "merged", "skipped", "near", "budget", "token", "session", "history", "review", "before"]
@@ -131,6 +154,7 @@ def test_redaction_keeps_the_rest(spark):
     assert {(r["k"], r["kind"]) for r in pii.find(df, ["k"], bound=1).collect()} == found  # the way by joins
     red = {r["k"]: r["text"] for r in pii.redact(df, ["k"]).collect()}
     assert red[100] == "Signed: [NAME]" and red[101] is None and red[102] == "" and red[200] == rows[-1][1]
+    assert {(r["k"], r["text"]) for r in pii.redact(df, ["k"], bound=1).collect()} == set(red.items())
     assert pii.find(df.limit(0), ["k"]).count() == 0
 
 
@@ -147,6 +171,20 @@ def test_sample_is_stable(spark):
     assert sampling.block_sample(early.limit(0)).count() == 0
 
 
+def test_sample_with_stored_numbers(spark, tmp_path):
+    rows = [(f"r{i:04}", T0 + timedelta(seconds=i)) for i in range(1000)]
+    frame = lambda x: spark.createDataFrame(x, "input_id string, ingested_ts timestamp")
+    store = str(tmp_path / "numbers")
+    a = {r["input_id"] for r in sampling.block_sample(frame(rows), store=store).collect()}
+    later = [*rows[:500], ("null", None), ("early", T0 - timedelta(days=9)), (None, T0), *[(f"z{i}", T0 + timedelta(days=1)) for i in range(300)]]
+    b = {r["input_id"]: r["seq"] for r in sampling.block_sample(frame(later), store=store).collect()}
+    assert a <= set(b) and len(a) == 100 and len(b) >= 125
+    numbers = {r["input_id"]: r["seq"] for r in spark.read.parquet(store).collect()}
+    assert sorted(numbers.values()) == list(range(1302)) and numbers["early"] == 1000 and numbers["null"] == 1301
+    assert {r["input_id"]: r["seq"] for r in sampling.block_sample(frame(later), store=store).collect()} == b
+    assert a == {r["input_id"] for r in sampling.block_sample(frame([*rows, ("null", None)])).collect() if r["input_id"] != "null"}
+
+
 # 6: splits
 def test_grouped_splits(spark):
     rng = random.Random(6)
@@ -158,7 +196,7 @@ def test_grouped_splits(spark):
     rows += [rows[0], ("multi", "t0", "s0", None, None), ("multi", "t1", "s1", None, None), (None, "t0", "s0", "x", "train"), ("nt", None, "s1", "g1", None), ("ns", "t0", None, None, "train")]
     df = spark.createDataFrame(rows, "input_id string, tenant_id string, session_id string, group_id string, split string")
     targets = spark.createDataFrame([("train", 0.7), ("calibration", 0.15), ("test", 0.15)], "split string, share double")
-    got = splits.grouped_splits(df, targets, cells=64, bins=40)
+    got = splits.grouped_splits(df, targets, bins=40)
     one = {r["input_id"]: (r["component"], r["assigned_split"]) for r in got.collect()}
     assert len(one) == got.count() == len({r[0] for r in rows if r[0]})
     assert len({s for _, s in one.values()}) == 3 and len({c for c, _ in one.values()}) == len({(c, s) for c, s in one.values()})
@@ -177,11 +215,14 @@ def test_grouped_splits(spark):
 
 def test_differencing_balances():
     rng = random.Random(1)
-    items = [(rng.randrange(1, 100), f"k{i}") for i in range(300)]
-    parts = splits.differencing(items, 10)
-    w = dict((k, n) for n, k in items)
-    sums = [sum(w[k] for k in p) for p in parts]
-    assert sorted(k for p in parts for k in p) == sorted(w) and max(sums) - min(sums) <= 5
+    weights = Counter(rng.randrange(1, 100) for _ in range(300))
+    parts = splits.differencing(weights, 10)
+    sums = [sum(w * n for w, n in p.items()) for p in parts]
+    assert sum((Counter(p) for p in parts), Counter()) == weights and max(sums) - min(sums) <= 5
+    assert splits.differencing({}, 3) == [{}, {}, {}] and splits.differencing({7: 2}, 3) == [{7: 1}, {7: 1}, {}]
+    got = splits.allocate({1: 1000, 50: 3, 400: 1}, {"train": 0.7, "test": 0.3}, 50)
+    assert sum((Counter(p) for p in got.values()), Counter()) == {1: 1000, 50: 3, 400: 1}
+    assert abs(sum(w * n for w, n in got["test"].items()) - 0.3 * 1550) < 35
 
 
 # 7: conversations
@@ -210,6 +251,9 @@ def test_conversations(spark):
     c = conv.conversations(df)
     got = [(r["event_id"], r["turn_no"], r["deleted"]) for r in c.filter("trace_id = 'ok'").orderBy("turn_no").collect()]
     assert got == [("u", 1, False), ("a", 2, False), ("t", 3, False), ("u2", 4, False), ("u3", 5, False), ("b", 6, True)]
+    ok = {r["event_id"]: r for r in c.filter("trace_id = 'ok'").collect()}
+    assert ok["b"]["text"] is None and {k: (r["depth"], r["thread"]) for k, r in ok.items()} == {"u": (0, "u"), "a": (1, "u"), "t": (2, "u"), "u2": (3, "u"), "u3": (3, "u3"), "b": (4, "u3")}
+    assert c.filter("trace_id = 'deep'").agg(F.max("depth")).first()[0] == 41
     assert {r["trace_id"] for r in c.select("trace_id").distinct().collect()} == {"ok", "deep", "nulltext"}
     assert conv.verdicts(df.limit(0)).count() == 0 and conv.conversations(df.limit(0)).count() == 0
 
@@ -265,8 +309,14 @@ def test_mix_reaches_shares(spark):
     m = {r["doc_id"]: r["repeats"] for r in mixing.mix(s, targets).collect()}
     assert m == {r["doc_id"]: r["repeats"] for r in mixing.mix(mixing.sized(df.repartition(7), targets), targets).collect()}
     assert not any(docs[k][1] == "other" for k in m)
-    small, large = ({r["doc_id"] for r in mixing.mix(s, targets, n).collect()} for n in (2000, 4000))
-    assert small <= large  # nested budgets
+    for n in (2000, 9000):  # the rest of a budget is small even though single documents are not
+        r = {x["source"]: x["mixed_tokens"] for x in mixing.share_report(s, targets, n).collect()}
+        want = {x["source"]: x["budget"] for x in mixing.plan(s, targets, n).collect()}
+        assert abs(sum(want.values()) - n) <= 4 and all(want[k] * 0.98 - 3 <= r[k] <= want[k] for k in want)
+    capped = {x["source"]: x for x in mixing.share_report(s, targets, 10**7).collect()}
+    assert all(capped[k]["mixed_tokens"] == capped[k]["own_tokens"] * capped[k]["max_repeats"] for k in "abc")
+    one_long = mixing.sized(spark.createDataFrame([(0, "a", "word " * 900), *[(i, "a", "word " * 10) for i in range(1, 200)]], "doc_id long, source string, text string"), targets)
+    assert abs(mixing.mix(one_long, targets, 1000).agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] - 1000) <= 12
     assert mixing.mix(mixing.sized(df.limit(0), targets), targets).count() == 0
 
 

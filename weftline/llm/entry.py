@@ -17,7 +17,7 @@ def _talk(spark, d):
 
 
 def p2_found(spark, d):
-    return languages.wrong_labels(languages.identify(_talk(spark, d), EVENT)).select(*EVENT).distinct()
+    return languages.wrong_labels(languages.identify(_talk(spark, d), EVENT, min_letters=languages.MIN_LETTERS)).select(*EVENT).distinct()
 
 
 def p2_languages(spark, d):

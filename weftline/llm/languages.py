@@ -4,6 +4,7 @@ Every language has an n-gram model of words (character trigrams for unknown word
 comes from one language, expectation-maximisation estimates the proportions from the segments' likelihoods, and the set of
 languages is chosen by penalised likelihood: a language joins only if it explains full sentences so much better than the
 languages already there that the gain exceeds the penalty. Code, log lines, identifiers and addresses are cut out first.
+The languages are those that enough rows are labelled with; a text that none of them accounts for has none of them.
 
 The models are fitted on a bounded sample of labelled rows (SAMPLE texts, those with the smallest hashes); since labels are
 partly wrong, the sample is relabelled by the first fit and fitted again. Every document is classified, and whole.
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LANGUAGES = ("ru", "en", "de", "es", "fr")
+NO_LANGUAGE = ("mis", "mul", "und", "zxx")  # fixed values: the codes of ISO 639-2 for uncoded, several, undetermined and no language
+MIN_LABELLED = 0.005  # share of the labelled rows that makes a code a language of the corpus; at most 200 codes have it
+OWN_WORDS = 0.18  # share of a text's words that its languages must own; less is another language
 SAMPLE = 15_000  # labelled texts that the models are fitted on
 MIN_LETTERS = 40
 PENALTY = 14.0  # nats that a further language must gain beyond log(number of words)
@@ -55,8 +58,12 @@ def _blank(m: re.Match) -> str:
     return "".join(c if c == "\n" else " " for c in s[: len(s) - len(tail)]) + tail
 
 
+# full-width forms and their blank have narrow twins of the same length
+_NARROW = {0x3000: 0x20} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+
+
 def prepared(text: str) -> str:
-    return _NOISE.sub(_blank, text)
+    return _NOISE.sub(_blank, text if text.isascii() else text.translate(_NARROW))
 
 
 class Model:
@@ -116,8 +123,9 @@ class Model:
             self.row = {w: k for w, k in self.row.items() if k < self.known}
 
 
-def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES) -> Model:
-    """Fit on (text, language), relabel the texts by that fit and fit again; texts found mixed are left out of the second fit."""
+def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] | None = None) -> Model:
+    """Fit on (text, language) in the given languages or all that occur, relabel the texts by that fit and fit again; texts found mixed are left out of the second fit."""
+    languages = tuple(sorted({x for _, x in samples})) if languages is None else languages
     index = {x: i for i, x in enumerate(languages)}
     split = [(_WORD.findall(prepared(t).lower()), index[x]) for t, x in samples if x in index]
 
@@ -137,6 +145,8 @@ def fit(samples: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES)
 def infer(texts: list[str], model: Model) -> list[dict]:
     """For each text: language (a code, 'mixed', or None without evidence), confidence, proportions, and segments (start, end, language, confidence)."""
     n_lang = len(model.languages)
+    if not n_lang:
+        return [{"language": None, "confidence": 0.0, "proportions": {}, "segments": []} for _ in texts]
     model.trim()
     get, add = model.row.get, model.add
     doc_of, spans, ids, n_words = [], [], [], []
@@ -193,6 +203,10 @@ def infer(texts: list[str], model: Model) -> list[dict]:
     several = chosen.sum(axis=1) > 1
     keep = chosen & holds
     chosen = np.where((several & keep.any(axis=1))[:, None], keep, chosen)
+    # a text whose words mostly belong to none of its languages is in another one
+    of_word = np.repeat(row, size)
+    owned = (np.stack([model.owns[k] for k in used])[at] & chosen[of_word]).any(axis=1)
+    has &= np.bincount(of_word, weights=owned, minlength=len(starts)) >= OWN_WORDS * words_in
     # expectation-maximisation of the proportions over the chosen set
     pi = chosen / np.maximum(1, chosen.sum(axis=1))[:, None]
     weight = size / words_in[row]
@@ -223,14 +237,27 @@ def infer(texts: list[str], model: Model) -> list[dict]:
     return out
 
 
-def training_sample(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> list[tuple[str, str]]:
+def _code() -> Column:
+    return F.lower(F.trim(F.substring_index("language", "-", 1)))
+
+
+def labelled_languages(df: DataFrame, least: float = MIN_LABELLED) -> tuple[str, ...]:
+    """Codes of two or three letters that at least that share of the rows with such a code carry."""
+    n = df.select(_code().alias("code")).filter(F.col("code").rlike("^[a-z]{2,3}$") & ~F.col("code").isin(*NO_LANGUAGE)).groupBy("code").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return tuple(sorted(r["code"] for r in n.filter(F.col("n") >= max(1.0, least * total)).collect()))  # 1 / least codes at most
+
+
+def training_sample(df: DataFrame, languages: tuple[str, ...], sample: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `sample` (text, language) of rows whose label names one of the languages: those with the smallest text hashes, whatever the partitioning.
 
     A hash bound that leaves about twice the sample is applied before the ordered limit, so no partition sends its own
     `sample` rows to the driver.
     """
-    code = F.lower(F.substring_index("language", "-", 1))
-    d = df.filter(code.isin(*languages) & (F.length("text") >= MIN_LETTERS)).select(F.xxhash64("text").alias("h"), "text", code.alias("code"))
+    if not languages:
+        return []
+    code = _code()
+    d = df.filter(code.isin(*languages) & (letters("text") >= MIN_LETTERS)).select(F.xxhash64("text").alias("h"), "text", code.alias("code"))
     n = d.count()
     bound = -(2**63) + min(2**64 - 1, 2**64 * 2 * sample // max(n, 1))
     d = d.filter(F.col("h") <= F.lit(bound))
@@ -241,16 +268,21 @@ def letters(c: str):
     return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
 
 
-def identify(df: DataFrame, keys: list[str], languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
-    """keys, language (as labelled), found, confidence, proportions, segments of every row with a text of at least MIN_LETTERS letters.
+def identify(df: DataFrame, keys: list[str], languages: tuple[str, ...] | None = None, sample: int = SAMPLE, model: Model | None = None, min_letters: int = 0) -> DataFrame:
+    """keys, language (as labelled), found, confidence, proportions, segments of every row with a text of at least min_letters letters.
 
-    Rows with null or shorter texts are left out: they hold too little evidence. found is a code, 'mixed', or null where a
-    text has no words of any language (only code or identifiers). Segments are (start, end, language, confidence) offsets
-    of the text. Repeated rows are classified once each distinct (keys, language, text). Without labelled rows all are null.
+    Rows with a null text are left out. found is a code, 'mixed', or null where a text has no words of any language (only
+    code or identifiers) or is in none of the languages, which are those of labelled_languages() if not given. Confidence
+    falls with the number of words that speak for a language, so short texts have a low one. Segments are (start, end,
+    language, confidence) offsets of the text. Repeated rows are classified once each distinct (keys, language, text).
+    Without labelled rows all are null.
     """
     spark = df.sparkSession
-    d = df.select(*keys, "language", "text").filter(letters("text") >= MIN_LETTERS)
+    d = df.select(*keys, "language", "text").filter("text IS NOT NULL")
+    if min_letters:
+        d = d.filter(letters("text") >= min_letters)
     if model is None:
+        languages = labelled_languages(df) if languages is None else languages
         model = fit(training_sample(df, languages, sample), languages)
     held = spark.sparkContext.broadcast(model)  # at most `sample` texts' words
 

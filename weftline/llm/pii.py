@@ -32,7 +32,7 @@ MIN_SIDE = 0.04  # share of these on the rarer side
 MIN_SUPPORT = 3
 ROUNDS = 3
 MEMO = 300_000  # words that a worker remembers
-LEXICON_BOUND = 200_000  # disclosing terms sent to the workers; beyond that names are found by joins
+LEXICON_BOUND = 200_000  # disclosing terms sent to the workers; beyond that each text meets its own terms by a join
 
 _DROP = dict.fromkeys([0x00AD, 0x180E, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF])
 
@@ -372,71 +372,56 @@ def _lexicon(held) -> Lexicon:
     return _lexicons[key]
 
 
-def find(events: DataFrame, keys: list[str], lexicon: DataFrame | None = None, bound: int = LEXICON_BOUND) -> DataFrame:
-    """(keys, kind): the kinds of personal information in each row's text, distinct. Null texts have none."""
-    d = events.filter("text IS NOT NULL").select(*keys, "text").distinct()
-    lexicon = disclosure(d) if lexicon is None else lexicon
-    held = _with_lexicon(events, lexicon, bound)
-    types = dict(events.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    if held is not None:
+def _with_terms(d: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """d with an array __terms of the disclosing terms in each row's text: the way for a lexicon of any size."""
+    d, _ = materialize(d.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lex = _lexicon(held)
-            for f in frames:
-                f["kind"] = [sorted(kinds_of(t, lex)) for t in f["text"]]
-                yield f.drop(columns="text").explode("kind").dropna(subset=["kind"])
-
-        return d.mapInPandas(run, f"{schema}, kind string").distinct()
-
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for t in f["text"]:
-                t = normal(t)
-                spans = structured(t)
-                ts = tokens(blanked(t, spans))
-                pairs = set()
-                for (a, x), (b, y) in zip(ts, ts[1:]):
-                    if a.isalpha() and b.isalpha():
-                        if len(a) > 1 and len(b) > 1 and x in ("", ","):
-                            pairs.add((folded(a), folded(b)))
-                        elif len(a) == 1 and x == "." and len(b) > 1:
-                            pairs.add((folded(b), None))
-                        elif len(b) == 1 and y.startswith(".") and len(a) > 1 and x in ("", ","):
-                            pairs.add((folded(a), None))
-                rows.append([*((k, None, None) for k in {s[2] for s in spans}), *(("name", a, b) for a, b in pairs)])
-            f["x"] = rows
-            f = f.drop(columns="text").explode("x").dropna(subset=["x"])
-            for i, c in enumerate(("kind", "a", "b")):
-                f[c] = [x[i] for x in f["x"]]
-            yield f.drop(columns="x")
-
-    p = d.mapInPandas(parts, f"{schema}, kind string, a string, b string")
-    sure = p.filter("kind <> 'name'").select(*keys, "kind")
-    term = lexicon.select("term")
-    named = p.filter("kind = 'name'").join(term.withColumnRenamed("term", "a"), "a", "left_semi")
-    named = named.filter("b IS NULL").unionByName(named.filter("b IS NOT NULL").join(term.withColumnRenamed("term", "b"), "b", "left_semi")).select(*keys, "kind")
-    return sure.unionByName(named).distinct()
+            f["term"] = [sorted({folded(w) for w, _ in tokens(blanked(x, structured(x))) if len(w) > 1 and w.isalpha()}) for x in map(normal, f["text"])]
+            yield f.drop(columns="text").explode("term").dropna(subset=["term"])
 
+    met = d.filter("text IS NOT NULL").select("__row", "text").mapInPandas(words_of, "__row long, term string").join(lexicon.select("term").distinct(), "term", "left_semi")
+    own = met.groupBy("__row").agg(F.collect_set("term").alias("__terms"))  # terms of one text
+    return d.join(own, "__row", "left").drop("__row")
 
-def redact(events: DataFrame, keys: list[str], lexicon: DataFrame | None = None, bound: int = LEXICON_BOUND) -> DataFrame:
-    """(keys, text, kinds): texts with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [NAME] in place of what was found. Null texts stay null.
 
-    A lexicon above the bound raises: sharding it would cut names in two; find() handles it by joins.
-    """
-    d = events.select(*keys, "text").distinct()
+def _scanned(events: DataFrame, keys: list[str], d: DataFrame, lexicon: DataFrame | None, bound: int, schema: str, one) -> DataFrame:
+    """Frames of d with a Lexicon for each row go through `one`: a broadcast lexicon, or beyond the bound the terms of the row itself."""
     lexicon = disclosure(d) if lexicon is None else lexicon
     held = _with_lexicon(events, lexicon, bound)
-    if held is None:
-        raise ValueError(f"more than {bound} disclosing terms; raise the bound to the workers' memory")
     types = dict(events.dtypes)
+    x = d if held is not None else _with_terms(d, lexicon)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = _lexicon(held)
         for f in frames:
-            made = [(None, []) if t is None else sanitised(t, lex) for t in f["text"]]
-            f["text"], f["kinds"] = [m[0] for m in made], [m[1] for m in made]
-            yield f
+            if held is not None:
+                own = [_lexicon(held)] * len(f)
+            else:
+                own = [Lexicon(frozenset() if t is None else frozenset(t)) for t in f["__terms"]]
+                f = f.drop(columns="__terms")
+            yield one(f, own)
+
+    return x.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {schema}")
+
+
+def find(events: DataFrame, keys: list[str], lexicon: DataFrame | None = None, bound: int = LEXICON_BOUND) -> DataFrame:
+    """(keys, kind): the kinds of personal information in each row's text, distinct. Null texts have none."""
+
+    def one(f: pd.DataFrame, own: list[Lexicon]) -> pd.DataFrame:
+        f["kind"] = [sorted(kinds_of(t, x)) for t, x in zip(f["text"], own)]
+        return f.drop(columns="text").explode("kind").dropna(subset=["kind"])
+
+    d = events.filter("text IS NOT NULL").select(*keys, "text").distinct()
+    return _scanned(events, keys, d, lexicon, bound, "kind string", one).distinct()
+
+
+def redact(events: DataFrame, keys: list[str], lexicon: DataFrame | None = None, bound: int = LEXICON_BOUND) -> DataFrame:
+    """(keys, text, kinds): texts with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [NAME] in place of what was found. Null texts stay null."""
+
+    def one(f: pd.DataFrame, own: list[Lexicon]) -> pd.DataFrame:
+        made = [(None, []) if t is None else sanitised(t, x) for t, x in zip(f["text"], own)]
+        f["text"], f["kinds"] = [m[0] for m in made], [m[1] for m in made]
+        return f
 
-    return d.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string, kinds array<string>")
+    return _scanned(events, keys, events.select(*keys, "text").distinct(), lexicon, bound, "text string, kinds array<string>", one)
