@@ -13,7 +13,8 @@ EVENT = ["tenant_id", "trace_id", "event_id"]
 
 
 def _talk(spark, d):
-    return table(spark, d, "trace_events").filter("role IN ('user', 'assistant')").select(*EVENT, "language", "text").distinct()
+    """Distinct texts of the events, written once: the languages, the sample and the texts themselves are all read from it."""
+    return materialize(table(spark, d, "trace_events").filter("role IN ('user', 'assistant')").select(*EVENT, "language", "text").distinct(), "talk")[0]
 
 
 def p2_found(spark, d):
