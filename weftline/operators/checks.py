@@ -31,11 +31,6 @@ def coverage_gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
 
 
-def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of either table that the other lacks, multiplicities counted."""
-    return left.exceptAll(right).withColumn("side", F.lit("left_only")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right_only")))
-
-
 def assert_empty(df: DataFrame, message: str) -> None:
     """Raise ValueError with up to three example rows if df has any."""
     rows = df.limit(3).collect()
@@ -77,6 +72,15 @@ def version_mix(labels: DataFrame, column: str) -> DataFrame:
     return labels.agg(F.countDistinct(column).alias("n_versions"), F.count_if(F.col(column).isNull()).alias("n_missing"))
 
 
+def target_coverage(inputs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(n_inputs, n_labelled, n_missing, n_versions) of inputs and labels (input_id, label, judge_version): more than one version is unfit for one study."""
+    ids = inputs.filter("input_id IS NOT NULL").select("input_id").distinct()
+    own = labels.filter("label IS NOT NULL").select("input_id", "judge_version").join(ids, "input_id", "left_semi")
+    j = ids.join(own.select("input_id").distinct().withColumn("__l", F.lit(True)), "input_id", "left")
+    n = j.agg(F.count("*").alias("n_inputs"), F.count("__l").alias("n_labelled"), F.count_if(F.col("__l").isNull()).alias("n_missing"))
+    return n.crossJoin(F.broadcast(own.agg(F.countDistinct("judge_version").alias("n_versions"))))  # one row each
+
+
 def prediction_drift(a: DataFrame, b: DataFrame, key: str, label: str, score: str) -> DataFrame:
     """(n_both, n_only_one, label_changes, max_score_change) of two prediction tables; null scores equal null scores only."""
     j = a.select(key, F.col(label).alias("__la"), F.col(score).alias("__sa"), F.lit(1).alias("__a")).join(b.select(key, F.col(label).alias("__lb"), F.col(score).alias("__sb"), F.lit(1).alias("__b")), key, "full")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.canon import string_json
 from weftline.schemas import CALL
+from weftline.session import drop_path, materialize
 
 FINAL = ("ok", "not_evaluated")
 
@@ -115,3 +116,77 @@ def run_calls(todo: DataFrame, transport: Callable[[dict], dict], attempt_no: in
             yield f[[x.name for x in CALL]]
 
     return todo.select("call_id", "input_id", "repeat", "judge_version").mapInPandas(run, CALL)
+
+
+def reusable(plan: DataFrame, prior: DataFrame) -> DataFrame:
+    """(call_id, prior_call_id, same_request): ok calls of another run that answer planned ones.
+
+    plan: (call_id, input_id, repeat, judge_version, prompt_hash); prior: a journal. Input, repeat and version must agree; a
+    call may be taken over only where same_request proves that the very same request was answered. Of several the smallest id.
+    """
+    p = latest(prior).filter("runtime_status = 'ok'").select("input_id", "repeat", "judge_version", F.col("call_id").alias("prior_call_id"), F.col("prompt_hash").alias("__h"))
+    j = plan.select("call_id", "input_id", "repeat", "judge_version", "prompt_hash").join(p, ["input_id", "repeat", "judge_version"])
+    same = F.coalesce(F.col("prompt_hash") == F.col("__h"), F.lit(False))
+    g = j.groupBy("call_id").agg(F.max_by(F.struct("prior_call_id", same.alias("same")), F.struct(same.cast("int"), F.xxhash64("prior_call_id"))).alias("x"))
+    return g.select("call_id", "x.prior_call_id", F.col("x.same").alias("same_request"))
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a journal folder; none yet is an empty table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(CALL).parquet(path) if there else spark.createDataFrame([], CALL)
+
+
+def run_resumable(plan: DataFrame, path: str, transport: Callable[[dict], dict], batch: int = 10_000, max_failures: int | None = None, progress: Callable[[int, int], None] | None = None) -> dict[str, int]:
+    """Run the planned calls that have no final record yet, batch by batch, and append their records to the journal at path.
+
+    The first call goes alone: if it fails nothing else is tried. A batch with more than max_failures failed calls is the
+    last (an outage). progress(done, planned) is told after each batch. Returns calls by status, 'unattempted' among them;
+    running again goes on where this stopped.
+    """
+    spark = plan.sparkSession
+    planned_calls = plan.count()
+    run_no = (read_journal(spark, path).agg(F.max("attempt_no")).first()[0] or 0) + 1
+    size = 1
+    while True:
+        journal = read_journal(spark, path)
+        now = journal.filter(F.col("attempt_no") == run_no).select("call_id")  # this run tries a call once
+        todo = pending(plan, journal, FINAL).join(now, "call_id", "left_anti")
+        todo, at = materialize(todo.orderBy("call_id").limit(size), "todo")
+        tried = todo.count()
+        if tried:
+            run_calls(todo, transport, run_no).write.mode("append").parquet(path)
+        drop_path(spark, at)
+        last = read_journal(spark, path)
+        failed = last.filter((F.col("attempt_no") == run_no) & ~F.col("runtime_status").isin(*FINAL)).count()
+        done = plan.join(latest(last).select("call_id"), "call_id", "left_semi").count()
+        if progress:
+            progress(done, planned_calls)
+        if not tried or (size == 1 and failed) or (max_failures is not None and failed > max_failures):
+            out = {r["runtime_status"]: r["n"] for r in status_counts(last.join(plan.select("call_id"), "call_id", "left_semi")).collect()}
+            return out | ({"unattempted": planned_calls - done} if planned_calls > done else {})
+        size = batch
+
+
+def append_scores(scores: DataFrame, path: str, key: str = "input_id", parts: int = 1, progress: Callable[[int, int], None] | None = None) -> int:
+    """Append rows whose key the folder at path doesn't hold yet, in `parts` commits by key hash; returns the rows added.
+
+    A run that broke off is repeated: what was committed stays, the rest is added. Of rows with one key one is kept.
+    """
+    spark, added = scores.sparkSession, 0
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i in range(parts):
+        new = scores.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(parts)) == i)).dropDuplicates([key])
+        if fs.exists(p):
+            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+        new, at = materialize(new, "scores")
+        n = new.count()
+        if n:
+            new.write.mode("append").parquet(path)
+        drop_path(spark, at)
+        added += n
+        if progress:
+            progress(i + 1, parts)
+    return added

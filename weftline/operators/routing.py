@@ -174,3 +174,14 @@ def prevalence(m: DataFrame, decisions: DataFrame, labels: DataFrame) -> DataFra
     return r.withColumns(
         {"yes_among_clear": ratio("ht_yes", F.col("ht_yes") + F.col("ht_no")), "unclear_fraction": ratio("ht_unclear", F.col("ht_yes") + F.col("ht_no") + F.col("ht_unclear"))}
     )
+
+
+def end_to_end(m: DataFrame, decisions: DataFrame, labels: DataFrame, calls: DataFrame) -> DataFrame:
+    """(positives, routed_positives, found_positives, routing_recall, end_to_end_recall) over messages labelled yes; calls: one for each input.
+
+    A positive is found if its trace is routed and its call is ok and says yes; a missing or failed call finds nothing.
+    """
+    found = calls.select("input_id", ((F.col("runtime_status") == "ok") & (F.col("label") == "yes")).alias("__hit"))
+    x = m.join(labels.filter("label = 'yes'").select("input_id"), "input_id").join(decisions.select(*TRACE, "routed"), list(TRACE)).join(found, "input_id", "left")
+    r = x.agg(F.count("*").alias("positives"), F.count_if("routed").alias("routed_positives"), F.count_if(F.col("routed") & F.coalesce("__hit", F.lit(False))).alias("found_positives"))
+    return r.withColumns({"routing_recall": ratio("routed_positives", "positives"), "end_to_end_recall": ratio("found_positives", "positives")})

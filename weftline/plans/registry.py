@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.plans import dataset_queries, feedback_queries, hierarchy_queries, study_queries, trace_queries
+from weftline.plans import dataset_queries, feedback_queries, hierarchy_queries, selection_queries, study_queries, trace_queries
 
 FLAGSHIP = "causal_split_counts"
-_MODULES = (hierarchy_queries, trace_queries, feedback_queries, dataset_queries, study_queries)
+_MODULES = (hierarchy_queries, trace_queries, feedback_queries, dataset_queries, study_queries, selection_queries)
 
 
 def queries() -> dict:

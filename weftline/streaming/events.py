@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.events import KEY, payload_hash
+from weftline.operators.events import KEY, conflicts, normalize, payload_hash
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -58,3 +58,25 @@ def changed_traces(stream: DataFrame, store: str, out: str, checkpoint: str, bui
         build(whole).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def split_conflicts(stream: DataFrame, store: str, out: str, conflicts_out: str, checkpoint: str) -> StreamingQuery:
+    """Events as they arrive, with a side output: each batch upserts the events it touches, those with conflicting deliveries go to conflicts_out.
+
+    Deliveries of all batches so far decide, so a conflict is seen however far apart the deliveries are.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        touched = batch.select(*KEY).distinct()
+        whole = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") <= batch_id).join(touched, list(KEY), "left_semi").drop("batch")
+        conflicts(whole).write.mode("overwrite").parquet(f"{conflicts_out}/batch={batch_id}")
+        normalize(whole).filter("NOT conflicting").drop("conflicting").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """(batch, rows, seconds) of the batches that the query has run."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["batchDuration"] / 1000} for p in query.recentProgress]
