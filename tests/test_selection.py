@@ -205,6 +205,22 @@ def test_command_line_of_a_labelling_run(spark, tmp_path):
     assert all(max(range(3), key=lambda k: got[f"i{i}"][k]) == i % 3 for i in range(60))
 
 
+def test_windows_of_a_tokenizer_and_draws(spark):
+    from weftline.operators import features, simulation
+
+    df = spark.createDataFrame([(1, "abcdefgh"), (2, ""), (3, None), (4, "ab")], "k int, text string")
+    got = {}
+    for r in features.tokenized_windows(df, "k", "text", list, 4, 2, prefix="#").orderBy("k", "window_no").collect():
+        got.setdefault(r["k"], []).append(("".join(r["tokens"]), r["weight"]))
+    assert got == {1: [("#abc", 3), ("#cde", 2), ("#efg", 2), ("#gh", 1)], 2: [("#", 0)], 4: [("#ab", 2)]}
+    import numpy as np
+
+    u = simulation._uniforms(np.arange(400, dtype=np.uint64), 42, 500)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.2 and abs(u.std() - 12**-0.5) < 0.01 and len(np.unique(u)) == u.size
+    w = simulation._weights(np.arange(400, dtype=np.uint64), 42, 500)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *a):

@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.classification import softmax
 
 
-def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
-    """All character n-grams of a text, with repeats."""
+def _beside(a: Column, b: Column, skip: int, sep: str) -> Column:
+    """Element i of a joined with element i + skip of b. Both arrays are made once for a row, not once for each element."""
+    n = F.greatest(F.size(b) - skip, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, skip + 1, n), lambda x, y: F.concat(x, F.lit(sep), y) if sep else F.concat(x, y))
 
-    def of(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    per = [of(n) for n in range(lo, hi + 1)]
-    return F.flatten(F.array(*per))
+def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
+    """All character n-grams of a text, with repeats; time grows with the length of the text, as no substring is looked up."""
+    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    grams, out = chars, []
+    for n in range(1, hi + 1):
+        grams = grams if n == 1 else _beside(grams, chars, n - 1, "")
+        if n >= lo:
+            out.append(grams)
+    return F.flatten(F.array(*out))
 
 
 def word_ngrams(text: Column) -> Column:
     """Words of two or more word characters in lower case, and pairs of neighbours."""
     w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i], w[i + 1]))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+    return F.concat(w, _beside(w, w, 1, " "))
 
 
 def tfidf(df: DataFrame, key: str, grams: Column, min_df: int = 2, cap: int = 40_000) -> DataFrame:
@@ -44,6 +51,42 @@ def tfidf(df: DataFrame, key: str, grams: Column, min_df: int = 2, cap: int = 40
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_blocks(df: DataFrame, key: str, blocks: dict[str, tuple[Column, int]], min_df: int = 2) -> DataFrame:
+    """(block, key, term, weight): tfidf() of several kinds of terms side by side; blocks: name to (terms, cap). Each block has length 1, the whole row isn't normalised again."""
+    out = None
+    for name, (grams, cap) in blocks.items():
+        b = tfidf(df, key, grams, min_df, cap).select(F.lit(name).alias("block"), key, "term", "weight")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+def tokenized_windows(df: DataFrame, key: str, text: str, tokenize: Callable[[str], Sequence], length: int, stride: int | None = None, prefix: str = "") -> DataFrame:
+    """(key, window_no, tokens, weight): windows of at most `length` tokens of prefix + text, no token lost; weight counts the tokens that a window is first to cover.
+
+    tokenize is called once for each text on the workers and may return ids or strings; the prefix's tokens open every
+    window and have no weight. Null texts have no window.
+    """
+    step = stride or length
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = [str(t) for t in tokenize(prefix)] if prefix else []
+        room, hop = length - len(head), min(step, length - len(head))
+        if room < 1:
+            raise ValueError("the prefix leaves no room")
+        for f in frames:
+            rows = []
+            for k, t in zip(f[key], f[text]):
+                ts = [] if t is None else [str(x) for x in tokenize(t)]
+                end = at = n = 0
+                while end < len(ts) or (not n and t is not None):
+                    stop = min(at + room, len(ts))
+                    rows.append((k, n, head + ts[at:stop], stop - end))
+                    end, at, n = stop, at + hop, n + 1
+            yield pd.DataFrame(rows, columns=[key, "window_no", "tokens", "weight"])
+
+    return df.select(key, text).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, window_no int, tokens array<string>, weight int")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,6 +6,7 @@ every cluster and no group list has to fit one machine: each task draws for its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,25 @@ def group_confusions(df: DataFrame, group: list[str], truth: str, predicted: str
     return d.groupBy(*group).agg(F.array(*[F.count_if(cell == k) for k in range(9)]).alias("m"))
 
 
+def _uniforms(keys: np.ndarray, seed: int, replicates: int) -> np.ndarray:
+    """Draws in [0, 1) by (key, replicate): 53 bits of a mixed counter, made for all keys at once."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] ^ np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64)
+        for salt in (np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95), np.uint64(0)):
+            x = x + salt
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+# distribution function of a Poisson variable with mean 1
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
 def _weights(keys: np.ndarray, seed: int, replicates: int) -> np.ndarray:
     """Poisson(1) multiplicities by (key, replicate): a bootstrap whose draws need no knowledge of the other groups."""
-    out = np.empty((len(keys), replicates), dtype=np.int64)
-    for i, k in enumerate(keys):
-        out[i] = np.random.Generator(np.random.Philox(key=[np.uint64(k), np.uint64(seed)])).poisson(1.0, replicates)
-    return out
+    return np.searchsorted(_POISSON, _uniforms(keys, seed, replicates), side="right")
 
 
 def _replicated(groups: DataFrame, cols: list[str], key: list[str], replicates: int, seed: int) -> DataFrame:
@@ -113,11 +127,13 @@ def design_simulation(sessions: DataFrame, audit_rate: float, replicates: int =
         for f in frames:
             for design, g in f.groupby("design"):
                 est, var, calls = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
-                for k, pi, neg, n in zip(g["k"].to_numpy().view(np.uint64), g["pi"], g["neg"], g["n"]):
-                    seen = np.random.Generator(np.random.Philox(key=[k, np.uint64(seed)])).random(replicates) < pi
-                    est += seen * (neg / pi)
-                    var += seen * ((1 - pi) / pi**2 * neg**2)
-                    calls += seen * n
+                for start in range(0, len(g), 2000):
+                    p = g.iloc[start : start + 2000]
+                    pi, neg, n = (p[c].to_numpy(dtype=float) for c in ("pi", "neg", "n"))
+                    seen = (_uniforms(p["k"].to_numpy().view(np.uint64), seed, replicates) < pi[:, None]).T.astype(float)
+                    est += seen @ (neg / pi)
+                    var += seen @ ((1 - pi) / pi**2 * neg**2)
+                    calls += seen @ n
                 yield pd.DataFrame({"design": design, "replicate": np.arange(replicates), "est": est, "var": var, "calls": calls})
 
     sums = d.withColumn("k", F.xxhash64("design", "key")).select("design", "k", "pi", "neg", "n").mapInPandas(run, "design string, replicate int, est double, var double, calls double")

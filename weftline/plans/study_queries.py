@@ -245,8 +245,8 @@ def paired_bootstrap(spark, d):
 
 
 def char_shingles(spark, d):
-    """Document frequency of character trigrams of eval_items."""
-    t = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct(features.char_ngrams(F.col("text"), 3, 3))).alias("gram"))
+    """How many of the eval_items hold each character 3- to 5-gram."""
+    t = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct(features.char_ngrams(F.lower("text")))).alias("gram"))
     return t.groupBy("gram").agg(F.count("*").alias("n_items"))
 
 
@@ -257,7 +257,23 @@ def tfidf_word(spark, d):
 
 def tfidf_char(spark, d):
     x = table(spark, d, "eval_items")
-    return features.tfidf(x, "item_id", features.char_ngrams(F.col("text"), 3, 3), 2, 60_000).withColumn("weight", F.round("weight", 8))
+    return features.tfidf(x, "item_id", features.char_ngrams(F.lower("text")), 2, 60_000).withColumn("weight", F.round("weight", 8))
+
+
+def tfidf_joint(spark, d):
+    """Words and characters side by side: two blocks of weights, each of length 1, not normalised together."""
+    x = table(spark, d, "eval_items")
+    return features.tfidf_blocks(x, "item_id", {"word": (features.word_ngrams(F.col("text")), 40_000), "char": (features.char_ngrams(F.lower("text")), 60_000)}).withColumn("weight", F.round("weight", 8))
+
+
+def ablation_metrics(spark, d):
+    """Metrics of yes with all rows, without unclear ones, and for rows of one split alone."""
+    x = _scored(spark, d).filter("y >= 0")
+    out = None
+    for name, rows in (("all", x), ("without_unclear", x.filter("y <> 2")), ("calibration", x.filter("split = 'calibration'"))):
+        r = cl.binary_metrics(rows, F.col("y") == 0, F.col("score"), 0.5).withColumn("variant", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _documents(spark, d):
@@ -363,7 +379,7 @@ _ALL = (
     pending_calls, latest_calls, call_history, call_status_counts, attempt_flatten, token_latency_summary, journal_insert, journal_merge, remaining_estimate, judge_consensus, unresolved_inputs,
     repeat_agreement, judge_confusion, judge_per_class, judge_agreement, disagreements, feedback_validation, answer_validation, softmax_probabilities, confusion3, classification_metrics, nll_brier,
     task_metrics, choose_thresholds, recall_precision_threshold, average_precision, yes_metrics, label_prior, threshold_winner, paired_outcomes, session_routing, prevalence_design_exact,
-    prevalence_simulation, cluster_bootstrap, paired_bootstrap, char_shingles, tfidf_word, tfidf_char, linear_head_scores, weighted_pooling, logit_window_aggregate, token_windows, lr_head,
+    prevalence_simulation, cluster_bootstrap, paired_bootstrap, char_shingles, tfidf_word, tfidf_char, tfidf_joint, ablation_metrics, linear_head_scores, weighted_pooling, logit_window_aggregate, token_windows, lr_head,
     document_char_shingles, document_tfidf_word, document_tfidf_char, document_token_windows,
     temperature_fit, census_counts, census_bounds, census_sessions, tag_counts, task_overlap, target_matrix, pilot_gate,
 )
@@ -401,7 +417,18 @@ _TF = """g AS (SELECT item_id, unnest({g}) AS term FROM eval_items), tf AS (SELE
 df AS (SELECT term, count(*) AS df, sum(tf) AS n FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT {cap}),
 w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT item_id) FROM eval_items)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
 SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 8) AS weight FROM w"""
-_TRI = "list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3))"
+_CHARS = "list_concat(" * 2 + ", ".join(f"list_transform(range(1, greatest(length(text) - {n - 2}, 1)), lambda i: substr(text, i, {n}))" + (")" if n > 3 else "") for n in (3, 4, 5))
+_WORDS = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
+_LOW = "FROM (SELECT item_id, lower(text) AS text FROM eval_items)"
+_CUT = "FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS ws FROM eval_items)"
+
+
+def _tfidf(source: str, grams: str, cap: int, key: str = "item_id") -> str:
+    table_ = "documents" if key == "doc_id" else "eval_items"
+    sql = _TF.format(g=grams, cap=cap).replace("FROM eval_items), tf", f"{source}), tf").replace("count(DISTINCT item_id) FROM eval_items", f"count(DISTINCT {key}) FROM {table_}")
+    return sql.replace("SELECT item_id, term, round(", f"SELECT item_id{'' if key == 'item_id' else ' AS doc_id'}, term, round(")
+
+
 _TASKS = f"tc AS (SELECT t AS task, coalesce(CASE WHEN l IN ('yes', 'no', 'unclear') THEN l END, 'missing') AS label, count(*) AS n FROM (SELECT unnest(['dissatisfaction', 'correction']) AS t, unnest([dissatisfaction.label, correction.label]) AS l FROM (SELECT DISTINCT input_id FROM feedback_inputs) LEFT JOIN feedback_labels USING (input_id)) GROUP BY ALL)"
 _ERR = """CASE WHEN {s} IS NULL OR {s}.label IS NULL THEN 'missing' WHEN {s}.label NOT IN ('yes', 'no', 'unclear') THEN 'wrong_label' WHEN len(coalesce({s}.evidence, [])) > 2 THEN 'too_much_evidence'
     WHEN len(list_filter(coalesce({s}.evidence, []), lambda e: e IS NULL OR length(e) < 1 OR length(e) > 240)) > 0 THEN 'empty_or_long_evidence' WHEN len(list_filter(coalesce({s}.evidence, []), lambda e: NOT coalesce(contains(text, e), false))) > 0 THEN 'evidence_not_in_text'
@@ -461,9 +488,14 @@ ORACLE = {
     "prevalence_design_exact": f"""WITH {_S}, {_SES}, pi AS (SELECT *, (CASE WHEN selected THEN 1.0 ELSE 0.1 END)::DOUBLE AS pi FROM se), eq AS (SELECT sum(pi * n) / sum(n) AS e FROM pi),
         d AS (SELECT unnest(['teacher_census', 'random_audit_rate', 'cascade_with_audit', 'random_equal_expected_calls']) AS design, unnest([1.0::DOUBLE, 0.1::DOUBLE, pi, e]) AS pi, n, known, neg FROM pi, eq)
         SELECT design, sum(neg) / nullif(sum(known), 0) AS truth, sum(pi * n) AS expected_calls, sqrt(sum((1 - pi) / pi * neg * neg)) / nullif(sum(known), 0) AS standard_error FROM d GROUP BY 1""",
-    "char_shingles": f"SELECT gram, count(*) AS n_items FROM (SELECT item_id, unnest(list_distinct({_TRI})) AS gram FROM eval_items WHERE length(text) >= 3) GROUP BY 1",
-    "tfidf_word": "WITH " + _TF.format(g="list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))", cap=40000).replace("FROM eval_items), tf", "FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS ws FROM eval_items)), tf"),
-    "tfidf_char": "WITH " + _TF.format(g=_TRI, cap=60000),
+    "char_shingles": f"SELECT gram, count(*) AS n_items FROM (SELECT item_id, unnest(list_distinct({_CHARS})) AS gram {_LOW}) GROUP BY 1",
+    "tfidf_word": "WITH " + _tfidf(_CUT, _WORDS, 40_000),
+    "tfidf_char": "WITH " + _tfidf(_LOW, _CHARS, 60_000),
+    "tfidf_joint": f"SELECT 'word' AS block, * FROM (WITH {_tfidf(_CUT, _WORDS, 40_000)}) UNION ALL SELECT 'char', * FROM (WITH {_tfidf(_LOW, _CHARS, 60_000)})",
+    "document_tfidf_word": "WITH " + _tfidf(_CUT.replace("item_id", "doc_id AS item_id").replace("eval_items", "documents"), _WORDS, 40_000, "doc_id"),
+    "document_token_windows": """SELECT doc_id, s::INT AS start, least(s + 64, length(text))::INT AS "end", (least(s + 64, length(text)) - s)::INT AS weight FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 64)) AS s FROM documents WHERE text IS NOT NULL)""",
+    "ablation_metrics": " UNION ALL ".join(f"""(WITH {_S}, x AS (SELECT count(*) FILTER (y = 0 AND score >= 0.5) AS tp, count(*) FILTER (y <> 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 0 AND score < 0.5) AS fn FROM sk WHERE {w})
+        SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall, 2 * tp / greatest(2 * tp + fp + fn, 1) AS f1, '{v}' AS variant FROM x)""" for v, w in (("all", "true"), ("without_unclear", "y <> 2"), ("calibration", "split = 'calibration'"))),
     "linear_head_scores": "SELECT vec_id, " + ", ".join(f"round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: embedding[k]::DOUBLE * (({i} + 1) * k % 7 - 3) / 3)) + {b}, 6) AS z{i}" for i, b in ((0, 0.1), (1, 0.0), (2, -0.1))) + " FROM embeddings",
     "weighted_pooling": """WITH u AS (SELECT vec_id // 10 AS owner, vec_id % 3 + 1 AS w, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
         s AS (SELECT owner, i, sum(w * v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY ALL), l AS (SELECT owner, sqrt(sum(x * x)) AS n, max(x) FILTER (i = 1) AS f FROM s GROUP BY 1) SELECT owner, round(f / n, 6) AS first, 1.0::DOUBLE AS length FROM l""",
