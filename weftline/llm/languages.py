@@ -204,9 +204,8 @@ def infer(texts: list[str], model: Model) -> list[dict]:
     keep = chosen & holds
     chosen = np.where((several & keep.any(axis=1))[:, None], keep, chosen)
     # a text whose words mostly belong to none of its languages is in another one
-    of_word = np.repeat(row, size)
-    owned = (np.stack([model.owns[k] for k in used])[at] & chosen[of_word]).any(axis=1)
-    has &= np.bincount(of_word, weights=owned, minlength=len(starts)) >= OWN_WORDS * words_in
+    # (a word belongs to one language at most)
+    has &= np.add.reduceat((mine * chosen[row]).sum(axis=1), starts) >= OWN_WORDS * words_in
     # expectation-maximisation of the proportions over the chosen set
     pi = chosen / np.maximum(1, chosen.sum(axis=1))[:, None]
     weight = size / words_in[row]
