@@ -74,6 +74,43 @@ def test_overlaps_in_many_shards(spark):
     assert whole == {tuple(r) for r in overlap.class_pairs(df, shard=7, block=5).collect()} and len(whole) >= 70
 
 
+def test_overlaps_copy_no_texts_to_shards(spark):
+    rng = random.Random(34)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([(f"{k}{i}", k, t + "!" * (k == "eval")) for k in ("train", "eval") for i, t in enumerate(texts)], "tid string, side string, text string").cache()
+    sc, wrote = spark.sparkContext, []
+    df.count()
+    for sizes in ({}, {"shard": 2, "block": 2}):
+        before = {s.stageId() for s in _stages(sc)}
+        assert overlap.class_pairs(df, **sizes).count() == 60
+        wrote.append(sum(s.shuffleWriteBytes() for s in _stages(sc) if s.stageId() not in before))
+    assert wrote[1] < 2 * wrote[0] + 100_000  # 30 x 30 shards and blocks of 20 kB of texts
+
+
+def _stages(sc) -> list:
+    none = sc._jvm.java.util.ArrayList
+    found = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_sketches_keep_similar_texts():
+    import numpy as np
+    import pandas as pd
+    from weftline.operators.textsim import grams, hashes
+
+    rng = random.Random(35)
+    base = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (40, 90, 250, 255, 260, 600, 3000, 90_000)]
+    texts = base + [t[: len(t) * 9 // 10] + "zz" for t in base] + [t[: len(t) * 2 // 3] for t in base]
+    h = [hashes(t) for t in texts]
+    s = overlap.Sketches(pd.DataFrame({"n": range(len(texts)), "size": [len(x) for x in h], "marks": [overlap.sketch(x) for x in h]}))
+    got = {(int(a), int(b)) for x, y in s.pairs(s, 0.7) for a, b in zip(x, y)}
+    g = [grams(t) for t in texts]
+    want = {(a, b) for a in range(len(g)) for b in range(len(g)) if len(g[a] & g[b]) / len(g[a] | g[b]) >= 0.7}
+    assert want <= got and len(want) > len(texts) and len(got) < 2 * len(want)
+    assert overlap.shards_by_size([(5, 3, 3), (6, 9, 9), (7, 1, 1), (8, 2, 2), (9, 2, 2)], 4) == [(5, 5, 0, 1), (6, 6, 0, 3), (6, 6, 1, 3), (6, 6, 2, 3), (7, 8, 0, 1), (9, 9, 0, 1)]
+
+
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(3)
     words = ["planner", "report", "heading", "merged", "skipped", "near", "budget", "token", "session", "history", "review", "before"]

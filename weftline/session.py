@@ -68,6 +68,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def keep_path(spark: SparkSession, path: str) -> None:
+    """Note a path in the shared folder: it goes as the tables of materialize() do."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    _written.append(path)
+
+
 def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
 
@@ -76,9 +83,7 @@ def materialize(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    _written.append(path)
+    keep_path(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
