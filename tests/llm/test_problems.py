@@ -385,6 +385,26 @@ def test_pieces_cover_and_keep_limits(spark):
     assert pieces.split_oversized(docs.limit(0), limits).count() == 0
 
 
+def test_pieces_hold_few_tokens_at_once():
+    import tracemalloc
+
+    import pandas as pd
+
+    tokens.encoding()
+    texts = [f"{i} " + "planner 12 отчёт, x\n" * 1200 for i in range(60)]
+    frame = pd.DataFrame({"doc_id": range(60), "max_tokens": 100, "overlap": 0, "text": texts})
+    pieces.shadow(texts[0])
+    tracemalloc.start()
+    seen = sizes = 0
+    for f in pieces.shadow_frames(iter([frame, frame.iloc[:0]])):
+        assert ["".join(t) for t in f["tokens"]] == [texts[i] for i in f["doc_id"]] and list(f["letters"].str.len()) == [len(e) for e in f["ends"]]
+        seen, sizes = seen + len(f), max(sizes, len(f))
+    assert sum(tokens.count_tokens(texts)) > 500_000 and tokens.count_tokens([]) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 60 and sizes < 15 and peak < 40e6  # all texts at once take about 60 MB
+
+
 def test_entry_has_no_missing_queries():
     from weftline.llm import entry
 

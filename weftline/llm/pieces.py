@@ -18,6 +18,7 @@ from weftline.llm.tokens import PATTERN, TOKENIZERS, VOCABULARY, encoding, over_
 
 # letters of the shadow: paragraph, line, sentence, clause, word, character, inside a character
 KINDS = "PLSCWcx"
+ROOM = 250_000  # characters whose tokens a worker holds at once, or those of one text; a token takes about 100 bytes
 
 
 def shadow(text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[str, list[int]]:
@@ -50,6 +51,20 @@ def shadow(text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) ->
     return "".join(letters), ends
 
 
+def shadow_frames(frames: Iterator[pd.DataFrame], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Iterator[pd.DataFrame]:
+    """tokens, letters and ends in place of text, in frames of about ROOM characters: what a worker holds doesn't depend on how many rows it is sent at once."""
+    for f in frames:
+        room = (f["text"].str.len().cumsum() // ROOM).to_numpy()
+        cuts = [0, *(i for i in range(1, len(f)) if room[i] != room[i - 1]), len(f)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                some = f.iloc[a:b]
+                made = [shadow(t, folder, vocabulary) for t in some["text"]]
+                # the characters that each token completes: a piece is a slice of them, whereas a substring would walk the text from its start
+                cut = [[t[i:j] for i, j in zip([0, *m[1]], m[1])] for t, m in zip(some["text"], made)]
+                yield some.assign(tokens=cut, letters=[m[0] for m in made], ends=[m[1] for m in made]).drop(columns="text")
+
+
 def _kind(text: str, word: str, end: int) -> str:
     if end == len(text):
         return "P"
@@ -94,15 +109,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", fol
     """
     big = oversized(docs, limits, key, folder, vocabulary)
 
-    def shadows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [shadow(t, folder, vocabulary) for t in f["text"]]
-            cut = [[t[a:b] for a, b in zip([0, *m[1]], m[1])] for t, m in zip(f["text"], made)]
-            yield f.assign(tokens=cut, letters=[m[0] for m in made], ends=[m[1] for m in made]).drop(columns="text")
-
-    # the characters that each token completes: a piece is a slice of them, whereas a substring would walk the text from its start
     schema = f"{key} {dict(docs.dtypes)[key]}, max_tokens int, overlap int, tokens array<string>, letters string, ends array<int>"
-    s = big.repartition(key).mapInPandas(shadows, schema)
+    s = big.repartition(key).mapInPandas(lambda frames: shadow_frames(frames, folder, vocabulary), schema)
     fresh = F.col("max_tokens") - F.col("overlap")
     first = F.format_string(pattern("%1$d", "%2$d"), "max_tokens", F.greatest(F.lit(1), F.expr("max_tokens div 2")))
     later = F.format_string(pattern("%1$d", "%2$d"), fresh, F.greatest(F.lit(1), F.floor(fresh / 2).cast("int")))

@@ -30,8 +30,9 @@ def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
 
 def count_tokens(texts: list[str], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> list[int]:
-    enc = encoding(folder, vocabulary)
-    return [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)] if texts else []
+    """One text after the other, so that the tokens of a single text are held at once."""
+    enc = encoding(folder, vocabulary) if texts else None
+    return [len(enc.encode_ordinary(t)) for t in texts]
 
 
 def token_count(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
