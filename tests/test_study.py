@@ -205,3 +205,36 @@ def test_features_of_documents(spark, tmp_path):
     for r in run("document_token_windows"):
         cover[r["doc_id"]] = cover.get(r["doc_id"], 0) + r["weight"]
     assert {k: cover[k] for k in low} == {k: len(texts[k]) for k in low}
+
+
+def test_char_weights_of_any_alphabet(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    many = "".join(chr(0x4E00 + i) for i in range(5000))
+    rows = [("a", "the export\0stops 😀\0"), ("a", "the export\0stops 😀\0"), ("a", "another text of a"), ("b", "the export\0stops"), ("c", None), ("d", ""), ("e", "ab"), ("f", many), ("g", many[:4500] + "the"), (None, "the export")]
+    rows += [(f"r{i}", "".join(rng.choice("abc é") for _ in range(rng.randrange(60)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    monkeypatch.setattr(features, "ROWS", 50)
+    for min_df, cap in ((2, 100), (1, 40_000)):
+        want = {(r["k"], r["term"]): r["weight"] for r in features.tfidf(df.distinct(), "k", features.char_ngrams(F.col("t")), min_df, cap).collect()}
+        got = [(r["k"], r["term"], r["weight"]) for r in features.char_tfidf(df, "k", "t", 3, 5, min_df, cap).collect()]
+        assert len(got) == len(want) > 500 and all(abs(want[k, g] - w) < 1e-12 for k, g, w in got)
+    assert features.char_tfidf(df.limit(0), "k", "t").count() == 0
+
+
+def test_char_weights_shuffle_no_grams(spark, tmp_path):
+    from weftline.plans import registry
+
+    spark.createDataFrame([(i, f"planner report {i % 7} " * 40) for i in range(600)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sc, none = spark.sparkContext, spark.sparkContext._jvm.java.util.ArrayList
+
+    def written() -> tuple[int, int]:
+        found = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+        stages = [found.apply(i) for i in range(found.size())]
+        return len(stages), sum(s.shuffleWriteRecords() for s in stages)
+
+    seen, before = written()
+    weights = registry.queries()["document_tfidf_char"](spark, str(tmp_path)).count()
+    stages, after = written()
+    assert weights > 30_000 and stages > seen and after - before < weights / 4

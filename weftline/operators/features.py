@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.classification import softmax
+from weftline.session import materialize
+
+ROOM = 1_000_000  # characters whose grams a worker counts at once, or those of one row
+ROWS = 100_000  # weights of one Arrow batch
 
 
 def _beside(a: Column, b: Column, skip: int, sep: str) -> Column:
@@ -51,6 +56,117 @@ def tfidf(df: DataFrame, key: str, grams: Column, min_df: int = 2, cap: int = 40
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def gram_counts(docs: list[list[str]], lo: int, hi: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(grams, holders, doc, tf): character lo- to hi-grams of lists of texts, counted by list; holders[i] rows of (doc, tf) in a row belong to gram i.
+
+    A gram is one number, digits of the characters that occur, with the list's number behind it; sorting these numbers
+    counts them. Lists that need more than 64 bits together are counted in halves, a single one by its strings.
+    """
+    texts = [t for d in docs for t in d]
+    if not texts:
+        return
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    rank = np.zeros(0x110000, dtype=np.uint64)
+    rank[codes] = 1
+    alphabet = np.flatnonzero(rank).astype(np.uint32)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1, dtype=np.uint64)  # no digit is 0, so grams of all lengths differ
+    bits, shift = len(alphabet).bit_length(), (len(docs) - 1).bit_length()
+    if hi * bits + shift > 64:
+        if len(docs) > 1:
+            for half in (range(len(docs) // 2), range(len(docs) // 2, len(docs))):
+                for grams, holders, doc, tf in gram_counts([docs[i] for i in half], lo, hi):
+                    yield grams, holders, doc + half.start, tf
+            return
+        n = Counter(t[i : i + k] for t in texts for k in range(lo, hi + 1) for i in range(len(t) - k + 1))
+        yield list(n), np.ones(len(n), np.int64), np.zeros(len(n), np.int64), np.fromiter(n.values(), np.int64, len(n))
+        return
+    lengths = [len(t) for t in texts]
+    segment = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.repeat(np.arange(len(docs), dtype=np.uint64), [len(d) for d in docs]), lengths)
+    digits = rank[codes]
+    gram, keys = digits, []
+    for k in range(2, hi + 1):
+        gram = (gram[:-1] << np.uint64(bits)) | digits[k - 1 :]
+        if k >= lo and len(gram):
+            inside = segment[: len(gram)] == segment[k - 1 :]
+            keys.append(((gram << np.uint64(shift)) | owner[: len(gram)])[inside])
+    if lo == 1:
+        keys.append((digits << np.uint64(shift)) | owner)
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    if not len(key):
+        return
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    tf, key = np.diff(first, append=len(key)), key[first]
+    gram, doc = key >> np.uint64(shift), (key & np.uint64((1 << shift) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    holders, gram = np.diff(first, append=len(gram)), gram[first]
+    grams: list[str] = []
+    edges = np.searchsorted(gram, np.array([1 << (bits * (k - 1)) for k in range(lo, hi + 1)], dtype=np.uint64)).tolist()
+    for k, a, b in zip(range(lo, hi + 1), edges, [*edges[1:], len(gram)]):
+        places = np.arange(k - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+        letters = alphabet[((gram[a:b, None] >> places) & np.uint64((1 << bits) - 1)).astype(np.int64) - 1]
+        text = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        grams += [text[i : i + k] for i in range(0, len(text), k)]
+    yield grams, holders, doc, tf
+
+
+def _in_room(docs: list[list[str]]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches of about ROOM characters."""
+    begin = held = 0
+    for i, d in enumerate(docs):
+        held += sum(map(len, d))
+        if held >= ROOM or i + 1 == len(docs):
+            yield begin, i + 1
+            begin, held = i + 1, 0
+
+
+def char_tfidf(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5, min_df: int = 2, cap: int = 40_000) -> DataFrame:
+    """(key, term, weight): tfidf() of the character lo- to hi-grams of a text column; repeated rows count once.
+
+    The grams of all texts are a thousand times as many as the texts, so they are counted where the texts are, twice: first
+    for the terms and their frequencies, then for the weights. Only counts by gram and task are shuffled, and the texts once
+    by key. The terms, `cap` at most, are sent to the workers.
+    """
+    import pyarrow as pa
+
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    rows = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(text).alias("__texts"))
+    rows, _ = materialize(rows, "texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            for a, b in _in_room(docs):
+                for grams, holders, _, tf in gram_counts(docs[a:b], lo, hi):
+                    n = np.add.reduceat(tf, np.cumsum(holders) - holders)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(holders, pa.int64()), pa.array(n, pa.int64())], ["term", "df", "n"])
+
+    stats = rows.select("__texts").mapInArrow(count, "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    stats = stats.filter(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(cap).select("term", "df").toPandas()  # at most `cap` rows
+    idf = np.log((1 + rows.count()) / (1 + stats["df"].to_numpy(dtype=np.float64))) + 1
+    known = spark.sparkContext.broadcast((stats["term"].tolist(), idf))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = known.value
+        at, names = {t: i for i, t in enumerate(terms)}, pa.array(terms, pa.string())
+        for batch in batches:
+            keys, docs = batch.column(0), batch.column(1).to_pylist()
+            for a, b in _in_room(docs):
+                found = []
+                for grams, holders, doc, tf in gram_counts(docs[a:b], lo, hi):
+                    term = np.repeat(np.fromiter((at.get(g, -1) for g in grams), np.int64, len(grams)), holders)
+                    keep = term >= 0
+                    found.append((doc[keep], term[keep], (1 + np.log(tf[keep])) * idf[term[keep]]))
+                if found:
+                    doc, term, w = (np.concatenate(x) for x in zip(*found))
+                    w /= np.sqrt(np.bincount(doc, w * w, minlength=b - a))[doc]
+                    for i in range(0, len(w), ROWS):
+                        j = slice(i, i + ROWS)
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[j] + a)), names.take(pa.array(term[j])), pa.array(w[j])], [key, "term", "weight"])
+
+    return rows.select(key, "__texts").mapInArrow(weigh, f"`{key}` {kind}, term string, weight double")
+
+
 def tfidf_blocks(df: DataFrame, key: str, blocks: dict[str, tuple[Column, int]], min_df: int = 2) -> DataFrame:
     """(block, key, term, weight): tfidf() of several kinds of terms side by side; blocks: name to (terms, cap). Each block has length 1, the whole row isn't normalised again."""
     out = None

@@ -282,12 +282,12 @@ def _documents(spark, d):
 
 def _lowered(spark, d):
     """Texts in lower case with runs of white space as one space, made once for each row: grams would repeat the work at every offset."""
-    return table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.regexp_replace(F.lower("text"), r"(?U)\s\s+", " ").alias("text")).distinct()
+    return table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.regexp_replace(F.lower("text"), r"(?U)\s\s+", " ").alias("text"))
 
 
 def document_char_shingles(spark, d):
     """Document frequency of character 3- to 5-grams of documents in lower case."""
-    t = _lowered(spark, d).select("doc_id", F.explode(F.array_distinct(features.char_ngrams(F.col("text")))).alias("gram"))
+    t = _lowered(spark, d).distinct().select("doc_id", F.explode(F.array_distinct(features.char_ngrams(F.col("text")))).alias("gram"))
     return t.groupBy("gram").agg(F.count("*").alias("n_documents"))
 
 
@@ -296,7 +296,7 @@ def document_tfidf_word(spark, d):
 
 
 def document_tfidf_char(spark, d):
-    return features.tfidf(_lowered(spark, d), "doc_id", features.char_ngrams(F.col("text")), 2, 60_000).withColumn("weight", F.round("weight", 8))
+    return features.char_tfidf(_lowered(spark, d), "doc_id", "text", 3, 5, 2, 60_000).withColumn("weight", F.round("weight", 8))
 
 
 def document_token_windows(spark, d):
