@@ -238,3 +238,8 @@ def test_char_weights_shuffle_no_grams(spark, tmp_path):
     weights = registry.queries()["document_tfidf_char"](spark, str(tmp_path)).count()
     stages, after = written()
     assert weights > 30_000 and stages > seen and after - before < weights / 4
+
+
+def test_rounded_is_round(spark):
+    x = spark.range(200_000).select(((F.col("id") - 100_000) / 99_991).alias("w")).union(spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.0, -1.0, 0.5, 0.123456785, 0.000000005, -0.000000005, 0.999999995, None)], "w double"))
+    assert x.filter(~F.round("w", 8).eqNullSafe(features.rounded("w", 8))).count() == 0

@@ -56,6 +56,12 @@ def tfidf(df: DataFrame, key: str, grams: Column, min_df: int = 2, cap: int = 40
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def rounded(number: str, digits: int) -> Column:
+    """round() of a double between -1 and 1 without a decimal number for each; values close to a tie still go through it. digits: 8 at most."""
+    y = F.col(number) * 10.0**digits
+    return F.when(F.abs(y - F.floor(y) - 0.5) < 1e-4, F.round(number, digits)).otherwise(F.rint(y) / 10.0**digits)
+
+
 def gram_counts(docs: list[list[str]], lo: int, hi: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(grams, holders, doc, tf): character lo- to hi-grams of lists of texts, counted by list; holders[i] rows of (doc, tf) in a row belong to gram i.
 
@@ -142,7 +148,9 @@ def char_tfidf(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5, min
                     yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(holders, pa.int64()), pa.array(n, pa.int64())], ["term", "df", "n"])
 
     stats = rows.select("__texts").mapInArrow(count, "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-    stats = stats.filter(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(cap).select("term", "df").toPandas()  # at most `cap` rows
+    # written first: a direct collect would send the best rows of every partition to the driver
+    stats, _ = materialize(stats.filter(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(cap).select("term", "df"), "terms")
+    stats = stats.toPandas()  # at most `cap` rows
     idf = np.log((1 + rows.count()) / (1 + stats["df"].to_numpy(dtype=np.float64))) + 1
     known = spark.sparkContext.broadcast((stats["term"].tolist(), idf))
 

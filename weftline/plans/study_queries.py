@@ -296,7 +296,7 @@ def document_tfidf_word(spark, d):
 
 
 def document_tfidf_char(spark, d):
-    return features.char_tfidf(_lowered(spark, d), "doc_id", "text", 3, 5, 2, 60_000).withColumn("weight", F.round("weight", 8))
+    return features.char_tfidf(_lowered(spark, d), "doc_id", "text", 3, 5, 2, 60_000).withColumn("weight", features.rounded("weight", 8))
 
 
 def document_token_windows(spark, d):
